@@ -1,0 +1,193 @@
+"""Evidence that a rendering must keep: numbers, ranges, units, statistics, citations, references and classes of words.
+
+Every extractor is a native column expression that gives a sorted array of distinct markers; ``EXTRACTORS`` names them.
+A null text gives null, an empty one an empty array. Texts should come through ``functions.text.marker_text`` first.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from quirespark.functions.text import chinese_integer, number_form
+
+# Patterns of numbers, units, citations, references and identifiers.
+UNSIGNED = r"(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+)(?:[eE][+-]?\d+)?"
+NUMBER = rf"(?<![A-Za-z0-9_.])[+\-−]?{UNSIGNED}"
+PLAIN_NUMBER = r"\d+(?:\.\d+)?"
+UNIT = r"(?<![A-Za-z'’])(?:%|°C|℃|k?Pa|MPa|kg|mg|μg|µg|ug|mm|cm|μm|µm|um|nm|mL|mmol/L|mol/L|Hz|m/s|min|h|s|K|L)(?![A-Za-z])"
+CITATION = r"\[[0-9,;\s–—-]+\]|\([A-Z][^()]{0,80}?(?:19|20)\d{2}[a-z]?[^()]*\)|（[A-Z][^（）]{0,80}?(?:19|20)\d{2}[a-z]?[^（）]*）"
+FIGURE_TABLE = r"(?i)(?:(?:Fig(?:ure)?|Table)\.?\s*[0-9]+[A-Za-z]?|[图表]\s*[0-9]+[A-Za-z]?)"
+IDENTIFIERS = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9./\s-]*\d)[A-Za-z][A-Za-z0-9]*(?:[-/]\s*[A-Za-z0-9]+)+(?![A-Za-z0-9])|\b[A-Za-z]{2,}\s+\d+(?:\s*/\s*\d+)+(?![A-Za-z0-9])|[㐀-鿿]{2,}-\d+(?=[（(][A-Za-z])|[Ͱ-Ͽ]\d+(?:\s*/\s*[Ͱ-Ͽ]?\d+)*"
+ENGLISH_DECADE = r"(?<![A-Za-z0-9])(?:1\d|20)\d0s(?![A-Za-z0-9])"
+ARABIC_DECADE = r"(?<!\d)\d{1,2}\s*世纪\s*\d{1,2}\s*年代"
+WRITTEN_DECADE = r"[一二两三四五六七八九十]{1,3}世纪[一二两三四五六七八九十]{1,3}年代"
+RANGE = rf"(?i)(?<![A-Za-z0-9_.])([+\-−]?{UNSIGNED})\s*(?:%|°C)?\s*(?:–|—|~|～|-|to|至|到)\s*([+\-−]?{UNSIGNED})(?![A-Za-z0-9_])"
+WORD_NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+STATISTICS = {"mean": "mean|平均值?", "median": "median|中位数", "p": "p", "n": "n", "r2": "r2|r²", "ci": "ci", "or": "or", "hr": "hr"}
+OPERATORS = {
+    "<": "<", "<=": "<=", "≤": "<=", ">": ">", ">=": ">=", "≥": ">=",
+    "no less than": ">=", "at least": ">=", "不少于": ">=", "不低于": ">=", "至少": ">=",
+    "no more than": "<=", "at most": "<=", "不超过": "<=", "不高于": "<=", "至多": "<=", "not exceeding": "<=",
+    "greater than": ">", "more than": ">", "above": ">", "exceeding": ">", "超过": ">", "大于": ">", "高于": ">",
+    "less than": "<", "below": "<", "小于": "<", "低于": "<",
+}
+# Classes of words that a rendering must keep, English and Chinese.
+DIRECTION = {
+    "increase": r"\bincreas(?:e|ed|es|ing)\b|增加|增多|升高|上升|提高|增长|延长|更多",
+    "decrease": r"\bdecreas(?:e|ed|es|ing)\b|减少|降低|下降",
+    "higher": r"\bhigher\b|更高|较高|高于|越高",
+    "lower": r"\blower\b|较?低|下(?:部|方)",
+    "positive": r"\bpositiv(?:e|ely)\b|正相关|正向|阳性",
+    "negative": r"\bnegativ(?:e|ely)\b|负相关|负向|阴性",
+}
+NEGATION = {
+    "negation": r"\bnot\b(?!\s+only\b)|\bno\b|\bwithout\b|\bneither\b|\bnor\b|\bfailed to\b|并非|并不|尚未?|未(?:能|曾|见|检测|发现|观察|报道|明确|知|确定|发表|处理|显示|证明|发生|出现|达到|得到)"
+    r"|不(?:会|能|再|足以|得|具有|影响|需要|依赖|明确|清楚|存在|是|应|可|属于|包括|发生|产生|导致|支持|改变|降低|增加|升高|减少|表明|显示|认为|知)"
+    r"|无(?:法|需|须|关|效|明显|显著|差异|影响|证据|变化|异常|反应|作用|表达|相关)|没有|不超过|不促进|难以|直到[^。！？.!?]{0,40}才",
+}
+DEGREE = {
+    "possibility": r"\bmay\b|\bmight\b|\bcould\b|可能(?!性)|或许|也许|预计",
+    "suggestion": r"\bsuggest(?:s|ed)?\b|提示|提出|表明",
+    "approximate": r"\bapproximately\b|\babout\b|约",
+    "significant": r"\bsignificantly\b|显著",
+    "slight": r"\bslightly\b|略微|稍(?:微|有|显|低|高|小|大|少|多)|略(?:低|高|小|大|少|多|有|显)|轻微",
+    "strong": r"\bstrongly\b|强烈|强相关|强(?:阳性|表达|染色)",
+}
+LOGIC = {
+    "reason": r"\bbecause\b|\bdue to\b|因为|由于",
+    "result": r"\btherefore\b|\bthus\b|因此|所以|从而|进而|由此|导致",
+    "association": r"\bassociated with\b|相关|有关|关联|结合",
+    "contrast": r"\balthough\b|\bhowever\b|\bwhereas\b|尽管|然而|不过|而(?=[A-Za-zͰ-Ͽ])|而(?!且|后|今)(?=[㐀-鿿])",
+    "condition": r"\bif\b|\bprovided that\b|如果|若",
+    "comparison": r"\bcompared with\b|\bversus\b|相较(?:于)?|与(?:[^。！？.!?]|(?<=\d)\.(?=\d)){0,120}相比|比[^。！？.!?]{0,30}(?:更|较|高|低|多|少|大|小)|(?<!比)较(?=[^。！？.!?]{0,20}(?:增加|减少|升高|降低|高|低|多|少|大|小))",
+}
+#: Categories in which a rendering may add markers but not lose any.
+MAY_ADD = ("unit", "direction", "negation", "degree", "logic")
+
+
+def _set(values: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(values, lambda x: x.isNotNull() & (x != ""))))
+
+
+def _all(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _masked(text: Column, *patterns: str) -> Column:
+    for pattern in patterns:
+        text = F.regexp_replace(text, pattern, " ")
+    return text
+
+
+def _numbers_of(values: Column) -> Column:
+    return F.transform(values, number_form)
+
+
+def decades(text: Column) -> Column:
+    """'1980s' for 1980s, 20世纪80年代 and 二十世纪八十年代."""
+    start = lambda century, decade: F.concat(((century - 1) * 100 + decade).cast("string"), F.lit("s"))
+    good = lambda century, decade: century.between(1, 99) & decade.between(0, 90) & (decade % 10 == 0)
+
+    def arabic(m: Column) -> Column:
+        c, d = F.regexp_extract(m, r"^(\d{1,2})", 1).cast("int"), F.regexp_extract(m, r"(\d{1,2})\s*年代$", 1).cast("int")
+        return F.when(good(c, d), start(c, d))
+
+    def written(m: Column) -> Column:
+        c, d = chinese_integer(F.substring_index(m, "世纪", 1)), chinese_integer(F.regexp_extract(m, "世纪(.*)年代", 1))
+        return F.when(good(c, d), start(c, d))
+
+    return _set(F.concat(_all(text, ENGLISH_DECADE), F.transform(_all(text, ARABIC_DECADE), arabic), F.transform(_all(text, WRITTEN_DECADE), written)))
+
+
+def numbers(text: Column) -> Column:
+    rest = _masked(text, ENGLISH_DECADE, ARABIC_DECADE, WRITTEN_DECADE, CITATION, IDENTIFIERS)
+    return _set(F.concat(decades(text), _numbers_of(_all(rest, NUMBER))))
+
+
+def ranges(text: Column) -> Column:
+    """'a:b' of a–b, a to b, a至b and of number words."""
+    rest = _masked(text, CITATION, IDENTIFIERS)
+    pair = lambda a, b: F.concat_ws(":", number_form(a), number_form(b))
+    digits = F.zip_with(_all(rest, RANGE, 1), _all(rest, RANGE, 2), pair)
+    words = WORD_NUMBERS.split()
+    one = "|".join(sorted(words, key=len, reverse=True))
+    pattern = rf"(?i)\b({one})\b\s*(?:-|–|—|to)\s*\b({one})\b"
+    value = lambda w: (F.array_position(F.array(*map(F.lit, words)), F.lower(w)) - 1).cast("string")
+    spelled = F.zip_with(_all(rest, pattern, 1), _all(rest, pattern, 2), lambda a, b: F.concat_ws(":", value(a), value(b)))
+    return _set(F.concat(digits, spelled))
+
+
+def inequalities(text: Column) -> Column:
+    """'op:number' of signs and words of comparison before a number."""
+    words = "|".join(sorted((w for w in OPERATORS if w[0].isalpha()), key=len, reverse=True)).replace(" ", r"\s+")
+    pattern = rf"(?i)(<=|>=|[<>≤≥]|{words})\s*(?:提高|增加|减少|降低|为)?\s*([+\-−]?{UNSIGNED})"
+    known = F.create_map(*[x for pair in OPERATORS.items() for x in map(F.lit, pair)])
+    op = lambda o: known[F.regexp_replace(F.lower(o), r"\s+", " ")]
+    return _set(F.zip_with(_all(text, pattern, 1), _all(text, pattern, 2), lambda o, n: F.concat_ws(":", op(o), number_form(n))))
+
+
+def units(text: Column) -> Column:
+    one = lambda u: F.replace(F.when(u == "ug", "μg").when(u == "um", "μm").when(u == "℃", "°C").otherwise(u), F.lit("µ"), F.lit("μ"))
+    return _set(F.transform(_all(_masked(text, ENGLISH_DECADE, ARABIC_DECADE, WRITTEN_DECADE), UNIT), one))
+
+
+def statistics(text: Column) -> Column:
+    """'name:op:number', the sign empty where there is none."""
+    found = []
+    for name, labels in STATISTICS.items():
+        pattern = rf"(?i)(?<![A-Za-z])(?:{labels})\s*(=|<|>|≤|≥)?\s*([+\-−]?{UNSIGNED})"
+        found.append(F.zip_with(_all(text, pattern, 1), _all(text, pattern, 2), lambda o, n, name=name: F.concat(F.lit(name + ":"), F.coalesce(o, F.lit("")), F.lit(":"), number_form(n))))
+    return _set(F.concat(*found))
+
+
+def classes(vocabulary: dict[str, str]) -> Callable[[Column], Column]:
+    """The names of the classes that a text holds a word of."""
+    return lambda text: F.when(text.isNotNull(), _set(F.array(*[F.when(text.rlike(f"(?i)(?:{p})"), F.lit(name)) for name, p in vocabulary.items()])))
+
+
+def citations(text: Column) -> Column:
+    plain = lambda c: F.translate(F.regexp_replace(c, r"\s+", ""), "—（），；", "–(),;")
+    return _set(F.transform(_all(text, CITATION), plain))
+
+
+def figure_tables(text: Column) -> Column:
+    one = lambda m: F.concat(F.when(m.rlike("(?i)^(?:table|表)"), F.lit("table:")).otherwise(F.lit("figure:")), F.lower(F.regexp_extract(m, r"([0-9]+[A-Za-z]?)$", 1)))
+    return _set(F.transform(_all(text, FIGURE_TABLE), one))
+
+
+EXTRACTORS: dict[str, Callable[[Column], Column]] = {
+    "number": numbers,
+    "unit": units,
+    "range": ranges,
+    "inequality": inequalities,
+    "statistic": statistics,
+    "direction": classes(DIRECTION),
+    "negation": classes(NEGATION),
+    "degree": classes(DEGREE),
+    "logic": classes(LOGIC),
+    "citation": citations,
+    "figure-table": figure_tables,
+}
+
+
+def identifier_numbers(text: Column) -> Column:
+    """Numbers inside identifiers, which a rendering may write apart."""
+    return _set(_numbers_of(_all(F.array_join(_all(text, IDENTIFIERS), " "), UNSIGNED)))
+
+
+def spelled_numbers(text: Column, wanted: Column) -> Column:
+    """Those of the ``wanted`` numbers that a text spells as words."""
+    return _set(F.array(*[F.when(F.array_contains(wanted, str(k)) & text.rlike(rf"(?i)\b{w}\b"), F.lit(str(k))) for k, w in enumerate(WORD_NUMBERS.split())]))
+
+
+def agree(category: str, source: Column, target: Column, source_text: Column, target_text: Column) -> Column:
+    """Whether the markers of a category survive in the rendering."""
+    if category == "number":
+        source = F.array_union(source, spelled_numbers(source_text, target))
+        target = F.array_union(target, spelled_numbers(target_text, source))
+        target = F.array_except(target, F.array_except(F.array_intersect(target, identifier_numbers(source_text)), source))
+    lost = F.size(F.array_except(source, target)) == 0
+    return lost if category in MAY_ADD else lost & (F.size(F.array_except(target, source)) == 0)
