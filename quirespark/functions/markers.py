@@ -136,11 +136,11 @@ def units(text: Column) -> Column:
 
 def statistics(text: Column) -> Column:
     """'name:op:number', the sign empty where there is none."""
-    found = []
-    for name, labels in STATISTICS.items():
+    def of(name: str, labels: str) -> Column:
         pattern = rf"(?i)(?<![A-Za-z])(?:{labels})\s*(=|<|>|≤|≥)?\s*([+\-−]?{UNSIGNED})"
-        found.append(F.zip_with(_all(text, pattern, 1), _all(text, pattern, 2), lambda o, n, name=name: F.concat(F.lit(name + ":"), F.coalesce(o, F.lit("")), F.lit(":"), number_form(n))))
-    return _set(F.concat(*found))
+        return F.zip_with(_all(text, pattern, 1), _all(text, pattern, 2), lambda o, n: F.concat(F.lit(name + ":"), F.coalesce(o, F.lit("")), F.lit(":"), number_form(n)))
+
+    return _set(F.concat(*[of(n, p) for n, p in STATISTICS.items()]))
 
 
 def classes(vocabulary: dict[str, str]) -> Callable[[Column], Column]:

@@ -114,13 +114,8 @@ def first_failure(ranked: dict[str, Column]) -> Column:
 
 def multiset_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """keys, in_a, in_b of the values that do not stand equally often in both."""
-    x = a.groupBy(*keys).agg(F.count("*").alias("in_a"))
-    y = b.groupBy(*keys).agg(F.count("*").alias("in_b"))
-    on = None
-    for k in keys:
-        one = x[k].eqNullSafe(y[k])
-        on = one if on is None else on & one
-    both = x.join(y, on, "full_outer").select(*[F.coalesce(x[k], y[k]).alias(k) for k in keys], F.coalesce("in_a", F.lit(0)).cast("long").alias("in_a"), F.coalesce("in_b", F.lit(0)).cast("long").alias("in_b"))
+    tagged = a.select(*keys, F.lit(1).alias("a_"), F.lit(0).alias("b_")).unionByName(b.select(*keys, F.lit(0).alias("a_"), F.lit(1).alias("b_")))
+    both = tagged.groupBy(*keys).agg(F.sum("a_").cast("long").alias("in_a"), F.sum("b_").cast("long").alias("in_b"))
     return both.where("in_a <> in_b")
 
 

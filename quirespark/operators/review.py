@@ -15,12 +15,14 @@ def mechanical_check(pairs: DataFrame, categories: tuple[str, ...] = tuple(EXTRA
     ``pairs``: doc_id, unit_id, source_text, target_text. A null text counts as empty, so its markers are missing.
     """
     clean = pairs.select("doc_id", "unit_id", *[marker_text(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("source_text", "target_text")])
-    source, target = F.col("source_text"), F.col("target_text")
+    # markers are columns of their own step, so that each text is searched once and not in every comparison
+    made = {f"{side}{k}": EXTRACTORS[name](F.col(f"{text}_text")) for k, name in enumerate(categories) for side, text in (("s", "source"), ("t", "target"))}
+    wide = clean.withColumns(made)
     found = []
-    for name in categories:
-        a, b = EXTRACTORS[name](source), EXTRACTORS[name](target)
-        found.append(F.when(~agree(name, a, b, source, target), F.struct(F.lit(name).alias("category"), a.alias("source_markers"), b.alias("target_markers"))))
-    issues = clean.select("doc_id", "unit_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i"))
+    for k, name in enumerate(categories):
+        a, b = F.col(f"s{k}"), F.col(f"t{k}")
+        found.append(F.when(~agree(name, a, b, F.col("source_text"), F.col("target_text")), F.struct(F.lit(name).alias("category"), a.alias("source_markers"), b.alias("target_markers"))))
+    issues = wide.select("doc_id", "unit_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i"))
     return issues.select("doc_id", "unit_id", "i.category", "i.source_markers", "i.target_markers")
 
 

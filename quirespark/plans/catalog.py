@@ -1,6 +1,11 @@
-"""The queries over the reference tables, by name, and the SQL that gives the same rows."""
+"""The queries over the reference's own operators, by name, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from quirespark.plans import page_plans, record_plans, stream_plans, unit_plans
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _module in (page_plans, unit_plans, record_plans, stream_plans):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
