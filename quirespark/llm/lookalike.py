@@ -28,9 +28,9 @@ PALOCHKA = "Ӏӏ"
 PALOCHKA_AS = "Il"
 # Hyphens of other kinds, and line breaks of other kinds.
 HYPHENS = "֊᠆‐‑⁃﹣－"
-BREAKS = "\r\u0085  \u000b\u000c"
+BREAKS = "\r\u0085\u2028\u2029\u000b\u000c"
 # Invisible characters that the category Cf does not hold.
-INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠏⠀ㅤﾠ"
+INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u2800\u3164\uffa0"
 # Kinds of compatibility forms that look like their ordinary form.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 TOP = 0x110000

@@ -21,7 +21,7 @@ OPEN = {"(": ")", "（": "）", "[": "]", "【": "】", "〔": "〕", "{": "}",
 QUOTES = "“«「『„‹\""
 CLOSERS = "”’\"'»」』）)]】〉》›〕"
 MARK = re.compile(f"[{re.escape(FULL + PLAIN + DOTS)}]+")
-AFTER = re.compile(r"(?:[”’\"'»」』）)\]】〉》›〕]|(?<=„)“|[    ]?»|\[\d{1,4}(?:\s?[,;–-]\s?\d{1,4})*\]|［\d{1,4}(?:[,，–-]\d{1,4})*］|[⁰¹²³⁴-⁹]+|[*†‡](?=\s|$))")
+AFTER = re.compile(r"(?:[”’\"'»」』）)\]】〉》›〕]|(?<=„)“|[ \u00a0\u202f\u2009]?»|\[\d{1,4}(?:\s?[,;–-]\s?\d{1,4})*\]|［\d{1,4}(?:[,，–-]\d{1,4})*］|[⁰¹²³⁴-⁹]+|[*†‡](?=\s|$))")
 REFERENCE = re.compile(r"(?:\[\d{1,4}(?:\s?[,;–-]\s?\d{1,4})*\]|[⁰¹²³⁴-⁹]+)")
 WORD = re.compile(r"[^\W_]")
 BRACKETS = re.compile("[" + re.escape("".join(OPEN) + "".join(OPEN.values()) + '"') + "]")
@@ -45,6 +45,10 @@ SEED = (
     "We met Dr. Smith at 7 p.m. yesterday. The talk, i.e. the first, cost approx. 5 dollars. It ended at 9 p.m. Nobody left.\n"
     "See Fig. 2 and Tab. 3 for the values, cf. Sec. 4. Earlier work by Miller et al. [3] agrees. J. K. Lee wrote it. Apples, pears, etc. Others agree.\n"
     "Am 24. Tag fiel der Wert. Die Probe wog z. B. 3 g. M. Dupont a répondu. La Dra. López midió 3,5 mm. Le test est fini.\n"
+    "调查结束了。结果很好！为什么下降？因为温度低。[3]由此可知。¹如图所示。\n結果は図に示す。なぜ値が下がったのか？膜は厚い。\n"
+    "परत मोटी थी। मान क्यों घट गया? सेंसर ठीक है।\nلماذا انخفضت القيمة؟ تم القياس مرة. انتهى الاختبار.\n결과는 그림에 있다. 왜 값이 낮아졌는가? 센서는 보정되었다.\n"
+    "Датчик был проверен. Результаты приведены на рис. 5 ниже. Почему значение упало? Образцы сушили.\n¿Por qué desciende el valor? La prueba terminó. ¡La válvula se abrió! Las muestras pesaron poco.\n"
+    "Où se trouve la limite ? Le capteur a été étalonné. Les échantillons ont été pesés ! Rien ne change.\n"
 )
 
 
@@ -265,6 +269,8 @@ def sentences(text: str | None, model: MaxEnt) -> list[tuple[int, int]]:
         if follow >= len(text):
             break
         held = inside[start]
+        if _sort(text, start, end) == "dots" and "\n" not in text[after:follow] and _case(_next(text, follow)) in ("lower", "cjk", "digit"):
+            continue  # a pause
         if held >= 0:
             outer = held
             while inside[outer] >= 0:
