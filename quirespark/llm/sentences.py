@@ -234,6 +234,35 @@ def train(texts: Iterable[str]) -> MaxEnt:
     return MaxEnt.fit(examples([*SEED.split("\n") * 5, *texts]))
 
 
+#: Small words that go on with a sentence after an abbreviation.
+LINKS = {"and", "or", "but", "to", "with", "in", "of", "for", "by", "on", "is", "was", "were", "are", "from", "than", "students"}
+
+
+def _one_case(text: str) -> bool:
+    """Whether most letters of a text have a case and all of them the same one, so that case tells nothing."""
+    if text != text.lower() and text != text.upper():
+        return False
+    cased = sum(c.upper() != c.lower() for c in text)
+    return cased > 12 and cased * 2 > sum(map(str.isalpha, text))
+
+
+def _ends_without_case(text: str, start: int, end: int, after: int, follow: int, quoted: bool) -> bool:
+    """A mark in a text of one case: what the token before it and the word behind it allow."""
+    if _sort(text, start, end) == "full":
+        return True
+    token, kind = _token(text, start)
+    coming = _next(text, follow).lower()
+    if quoted:
+        return text[start] == "."  # an exclamation or a question is followed by who said it
+    if text[start] != ".":
+        return True
+    if follow == after:
+        return kind in ("word", "unit") and len(token) > 2 and not coming[:1].isdigit() and coming.isalpha()
+    if kind in ("title", "within", "initial", "ordinal") or token.lower() in ("al", "ph.d", "d") or (len(token) == 1 and kind != "unit"):
+        return False
+    return not (kind in ("ender", "dotted") and coming in LINKS)
+
+
 def _ends_after_quote(text: str, model: MaxEnt, opened: int, begun: int, start: int, end: int, after: int, follow: int) -> bool:
     """A mark right before the end of a quotation; ``begun``: where the sentence so far starts."""
     rest = text[follow:]
@@ -258,6 +287,7 @@ def sentences(text: str | None, model: MaxEnt) -> list[tuple[int, int]]:
     inside, closed = pairs_of(text)
     label = LABEL.match(text)
     opening = label.end() if label else 0
+    plain = _one_case(text)
     cuts: list[int] = []
     begun = 0
     blanks = [m.end() for m in THAI_BLANK.finditer(text)] if "฀" <= max(text) else []
@@ -280,8 +310,12 @@ def sentences(text: str | None, model: MaxEnt) -> list[tuple[int, int]]:
                 continue  # within a quotation or bracket
             if text[outer] not in QUOTES:
                 ends = not text[begun:outer].strip()
+            elif plain:
+                ends = _ends_without_case(text, start, end, after, follow, True)
             else:
                 ends = _ends_after_quote(text, model, outer, begun, start, end, after, follow)
+        elif plain:
+            ends = _ends_without_case(text, start, end, after, follow, False)
         elif follow == after and _sort(text, start, end) == "stop":
             ends = _ends_without_blank(text, model, start, end, after, follow)
         else:
