@@ -44,60 +44,80 @@ class WaveletMatrix:
         return self._down(symbol, at) - self.first[symbol]
 
 
-def suffix_order(points: np.ndarray, separators: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes in order and the longest common prefix of each with the one before, by prefix doubling."""
-    n = len(points)
-    rank = np.zeros(n, np.int64)
-    parts = separators.sum()
-    rank[separators] = np.arange(parts)
-    rank[~separators] = parts + np.unique(points[~separators], return_inverse=True)[1]
-    levels, step = [rank.astype(np.int32)], 1
+def suffix_order(codes: np.ndarray, size: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order and the longest common prefix of each with the one before, by prefix doubling.
+
+    ``codes``: symbols below ``size``, separators 0, each of which sorts by its position. The first round packs several
+    symbols into one key.
+    """
+    n = len(codes)
+    bits = max(1, int(size - 1).bit_length())
+    width = 8 if bits <= 7 else 4 if bits <= 15 else 2
+    packed, ended = np.zeros(n, np.int64), np.zeros(n, bool)
+    padded = np.concatenate([codes, np.zeros(width, codes.dtype)])
+    for k in range(width):  # nothing counts behind a separator
+        part = np.where(ended, 0, padded[k : k + n])
+        ended |= part == 0
+        packed = packed << bits | part
+    order = np.argsort(packed, kind="stable")
+    own = packed[order]
+    # keys that hold a separator are equal only where the separators are different ones; a group's rank is its first slot
+    fresh = np.ones(n, bool)
+    fresh[1:] = (own[1:] != own[:-1]) | ended[order][1:]
+    slots = np.arange(n)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, slots, 0))
+    levels, step = [rank.astype(np.int32)], width
     while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = rank[step:] + 1
-        key = rank * (n + int(parts) + 2) + ahead
-        order = np.argsort(key)
-        own = key[order]
-        fresh = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
+        shared = ~fresh
+        shared[:-1] |= ~fresh[1:]
+        slots = np.flatnonzero(shared)  # only groups of more than one are sorted on
+        if not len(slots):
             break
+        if step > 2 * longest + width:
+            raise AssertionError("suffixes that separators should tell apart are equal")
+        part = order[slots]
+        ahead = np.zeros(len(part), np.int64)
+        inside = part + step < n
+        ahead[inside] = rank[part[inside] + step] + 1
+        key = rank[part] * (n + 1) + ahead
+        by = np.argsort(key)
+        part, key = part[by], key[by]
+        order[slots] = part
+        first = np.ones(len(part), bool)
+        first[1:] = key[1:] != key[:-1]
+        fresh[slots] = first
+        rank[part] = np.maximum.accumulate(np.where(first, slots, 0))
         levels.append(rank.astype(np.int32))
         step *= 2
-        if step > 2 * longest:
-            raise AssertionError("suffixes that separators should tell apart are equal")
     common = np.zeros(n, np.int64)
     a, b = order[:-1].copy(), order[1:].copy()
     for k in range(len(levels) - 1, -1, -1):
         inside = (a < n) & (b < n)
         same = np.zeros(n - 1, bool)
         same[inside] = levels[k][a[inside]] == levels[k][b[inside]]
-        common[1:] += same << k
-        a, b = a + (same << k), b + (same << k)
+        grown = same * (width << k)
+        common[1:] += grown
+        a, b = a + grown, b + grown
+    alive = np.ones(n - 1, bool)
+    for _ in range(width - 1):
+        x, y = padded[np.minimum(a, n)], padded[np.minimum(b, n)]
+        alive &= (x == y) & (x != 0)
+        common[1:] += alive
+        a, b = a + alive, b + alive
     return order, common
 
 
-def smaller_neighbours(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the nearest before it and behind it with a smaller value (-1 and n where there is none)."""
-    n = len(values)
-    own = values.tolist()
-    before, behind = [-1] * n, [n] * n
-    stack: list[int] = []
-    for i, v in enumerate(own):
-        while stack and own[stack[-1]] > v:
-            behind[stack.pop()] = i
-        if stack:
-            top = stack[-1]
-            before[i] = top if own[top] < v else before[top]
-        stack.append(i)
-    # equal values: the later one's answer behind holds for the earlier one as well
-    for i in range(n - 2, -1, -1):
-        j = behind[i]
-        while j < n and own[j] == own[i]:
-            j = behind[j]
-        behind[i] = j
-    return np.asarray(before), np.asarray(behind)
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, or -1; all pointers jump together."""
+    at = np.arange(-1, len(values) - 1)
+    open_ = np.arange(len(values))
+    while True:
+        open_ = open_[at[open_] >= 0]
+        open_ = open_[values[at[open_]] >= values[open_]]
+        if not len(open_):
+            return at
+        at[open_] = at[at[open_]]
 
 
 class FMIndex:
@@ -115,14 +135,14 @@ class FMIndex:
         letters, dense = np.unique(joined[~separators], return_inverse=True)
         self.symbols = np.zeros(n, np.int64)
         self.symbols[~separators] = dense + 1
-        self.order, common = suffix_order(joined, separators, int(self.lengths.max(initial=1)) + 1)
         size = len(letters) + 1
+        self.order, common = suffix_order(self.symbols, size, int(self.lengths.max(initial=1)) + 1)
         self.below = np.concatenate([[0], np.cumsum(np.bincount(self.symbols, minlength=size))])[:size]
         self.bwt = WaveletMatrix(self.symbols[self.order - 1], size)
         self.common = np.concatenate([common, [0]])
         self.common[0] = 0
-        self.before, self.behind = smaller_neighbours(self.common)
-        self.before, self.behind = np.maximum(self.before, 0), np.minimum(self.behind, n)
+        self.before = np.maximum(smaller_before(self.common), 0)
+        self.behind = np.minimum(n - smaller_before(self.common[::-1].copy())[::-1], n)
         owner = np.repeat(owners, self.lengths + 1)[self.order]
         change = np.flatnonzero(owner[1:] != owner[:-1]) + 1
         self.other = np.append(change, n)[np.searchsorted(change, np.arange(n), side="right")]  # where the owner changes next
