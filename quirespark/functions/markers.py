@@ -20,7 +20,7 @@ PLAIN_NUMBER = r"\d+(?:\.\d+)?"
 UNIT = r"(?<![A-Za-z'’])(?:%|°C|℃|k?Pa|MPa|kg|mg|μg|µg|ug|mm|cm|μm|µm|um|nm|mL|mmol/L|mol/L|Hz|m/s|min|h|s|K|L)(?![A-Za-z])"
 CITATION = r"\[[0-9,;\s–—-]+\]|\([A-Z][^()]{0,80}?(?:19|20)\d{2}[a-z]?[^()]*\)|（[A-Z][^（）]{0,80}?(?:19|20)\d{2}[a-z]?[^（）]*）"
 FIGURE_TABLE = r"(?i)(?:(?:Fig(?:ure)?|Table)\.?\s*[0-9]+[A-Za-z]?|[图表]\s*[0-9]+[A-Za-z]?)"
-IDENTIFIERS = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9./\s-]*\d)[A-Za-z][A-Za-z0-9]*(?:[-/]\s*[A-Za-z0-9]+)+(?![A-Za-z0-9])|\b[A-Za-z]{2,}\s+\d+(?:\s*/\s*\d+)+(?![A-Za-z0-9])|[㐀-鿿]{2,}-\d+(?=[（(][A-Za-z])|[Ͱ-Ͽ]\d+(?:\s*/\s*[Ͱ-Ͽ]?\d+)*"
+IDENTIFIERS = r"(?<![A-Za-z0-9])(?=[A-Za-z][A-Za-z0-9]*[-/])(?=[A-Za-z0-9./\s-]*\d)[A-Za-z][A-Za-z0-9]*(?:[-/]\s*[A-Za-z0-9]+)+(?![A-Za-z0-9])|\b[A-Za-z]{2,}\s+\d+(?:\s*/\s*\d+)+(?![A-Za-z0-9])|(?<![㐀-鿿])[㐀-鿿]{2,}+-\d+(?=[（(][A-Za-z])|[Ͱ-Ͽ]\d+(?:\s*/\s*[Ͱ-Ͽ]?\d+)*"
 ENGLISH_DECADE = r"(?<![A-Za-z0-9])(?:1\d|20)\d0s(?![A-Za-z0-9])"
 ARABIC_DECADE = r"(?<!\d)\d{1,2}\s*世纪\s*\d{1,2}\s*年代"
 WRITTEN_DECADE = r"[一二两三四五六七八九十]{1,3}世纪[一二两三四五六七八九十]{1,3}年代"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quirespark.functions.geometry import area, box, contains, distance, lightness, meets, shared_length
 from quirespark.functions.text import collapse, line_signature
+from quirespark.operators.grouped import by_group
 
 PAGE = ["doc_id", "page_number"]
 # A page number alone on its line, and mentions of figures and tables.
@@ -32,19 +33,19 @@ def line_clusters(chars: DataFrame) -> DataFrame:
     The first fit depends on earlier clusters, so pages are swept one by one, over arrays of one page at a time.
     """
 
-    def sweep(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y1", "x0", "id"], ascending=[False, True, True], kind="stable")
+    def sweep(key: tuple, page: list[dict]) -> list[tuple]:
         middles, sizes, found = [], [], []
-        for middle, size in zip((page.y0 + page.y1) // 2, page.font_size_mpt, strict=True):
+        for c in sorted(page, key=lambda c: (-c["y1"], c["x0"], c["id"])):
+            middle, size = (c["y0"] + c["y1"]) // 2, c["font_size_mpt"]
             k = next((i for i, m in enumerate(middles) if abs(middle - m) <= max(2000, min(size, sizes[i]) // 4)), len(middles))
             if k == len(middles):
                 middles.append(middle)
                 sizes.append(size)
-            found.append(k)
-        return pd.DataFrame({"doc_id": page.doc_id, "page_number": page.page_number, "id": page.id, "cluster": found})
+            found.append((*key, c["id"], k))
+        return found
 
-    sound = chars.select(*PAGE, "id", "x0", "y0", "y1", "font_size_mpt").where("y0 is not null and y1 is not null and x0 is not null and font_size_mpt is not null")
-    return sound.groupBy(*PAGE).applyInPandas(sweep, "doc_id string, page_number int, id string, cluster long")
+    sound = chars.select(*PAGE, "id", "x0", "y0", "y1", "font_size_mpt").dropna(subset=["x0", "y0", "y1", "font_size_mpt"])
+    return by_group(sound, PAGE, ["id", "x0", "y0", "y1", "font_size_mpt"], sweep, "doc_id string, page_number int, id string, cluster long")
 
 
 def segments(chars: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,0 +1,106 @@
+"""Tables, figures and equations from vectors, images and lines.
+
+Vectors and images are keyed by (doc_id, page_number, id) with a box. Everything stays on its page; null boxes match nothing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quirespark.functions.geometry import area, box, contains, distance, shared_length
+from quirespark.operators.extraction import box_components, merged_rules
+
+PAGE = ["doc_id", "page_number"]
+BOX = ["x0", "y0", "x1", "y1"]
+# How captions, labels of equations and notes begin.
+TABLE_CAPTION = r"^\s*(?i:tab(?:le)?\.?\s*\d+|表\s*\d+)"
+CAPTION = r"^\s*(?i:(?:fig(?:ure)?|tab(?:le)?)\.?\s*\d+|[图表]\s*\d+)"
+EQUATION_LABEL = r"\(\d{1,3}[a-z]?\)\s*$"
+NOTE_START = r"^\s*(?i:(?:note|notes|source|data source)\s*[.:：]|[*†‡§¹²³⁴-⁹]|[a-e]\s+\p{Lu}|注[.:：])"
+
+
+def grid_tables(vectors: DataFrame, least: int = 3, aspect: int = 4) -> DataFrame:
+    """doc_id, page_number, id, box of the groups of meeting lines with three horizontal and three vertical ones at least.
+
+    A line is horizontal if it is more than ``aspect`` times as wide as high; a group is named by its least id.
+    """
+    parts = box_components(vectors, PAGE).join(vectors.select(*PAGE, "id", *BOX), [*PAGE, "id"])
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    counted = parts.groupBy(*PAGE, F.col("component").alias("id")).agg(F.sum(F.when(wide > aspect * high, 1).otherwise(0)).alias("h"), F.sum(F.when(high > aspect * wide, 1).otherwise(0)).alias("v"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return counted.where((F.col("h") >= least) & (F.col("v") >= least)).drop("h", "v")
+
+
+def rule_groups(vectors: DataFrame, span: int = 8000, gap: int = 120_000) -> DataFrame:
+    """doc_id, page_number, group, rules, box of horizontal rules of like ends, one below the other within ``gap``.
+
+    Rules in order of their left and right ends chain into a group while both move by at most ``span``; groups are then
+    split where the next rule is more than ``gap`` below.
+    """
+    rules = merged_rules(vectors, PAGE)
+    by_ends = Window.partitionBy(*PAGE).orderBy("x0", "x1", "y0")
+    unlike = (F.col("x0") - F.lag("x0").over(by_ends) > span) | (F.abs(F.col("x1") - F.lag("x1").over(by_ends)) > span)
+    chained = rules.withColumn("new_", F.when(unlike, 1).otherwise(0)).withColumn("chain", F.sum("new_").over(by_ends.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    down = Window.partitionBy(*PAGE, "chain").orderBy(F.desc("y0"))
+    split = chained.withColumn("cut_", F.when(F.lag("y0").over(down) - F.col("y1") > gap, 1).otherwise(0)).withColumn("part", F.sum("cut_").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    grouped = split.groupBy(*PAGE, "chain", "part").agg(F.count("*").alias("rules"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return grouped.withColumn("group", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("y1"), "x0")).cast("long")).drop("chain", "part")
+
+
+def ruled_tables(vectors: DataFrame, lines: DataFrame, near: int = 50_000) -> DataFrame:
+    """Groups of three rules at least with a table's caption near them, outside and over a quarter of the narrower width, and
+    with cells: lines between the rules whose left edges repeat in two intervals, in two columns at least."""
+    groups = rule_groups(vectors).where("rules >= 3").withColumn("id", F.format_string("p%04d-table-%03d", "page_number", "group"))
+    captions = lines.where(F.col("text").rlike(TABLE_CAPTION)).select(*PAGE, *[F.col(c).alias(f"c_{c}") for c in BOX])
+    narrow = F.least(F.col("c_x1") - F.col("c_x0"), F.col("x1") - F.col("x0"))
+    off = distance(F.col("c_y0"), F.col("c_y1"), F.col("y0"), F.col("y1"))
+    told = groups.join(captions, PAGE).where((off > 0) & (off <= near) & (shared_length(F.col("c_x0"), F.col("c_x1"), F.col("x0"), F.col("x1")) * 4 >= narrow)).select(*PAGE, "id", *BOX).distinct()
+    inner = lines.select(*PAGE, *[F.col(c).alias(f"l_{c}") for c in BOX])
+    cells = told.join(inner, PAGE).where(contains(box(), box("l_"), 1000)).withColumn("edge", F.round(F.col("l_x0") / 20_000))
+    columns = cells.groupBy(*PAGE, "id", *BOX, "edge").agg(F.countDistinct("l_y0").alias("n")).where("n >= 2")
+    return columns.groupBy(*PAGE, "id", *BOX).agg(F.count("*").alias("columns")).where("columns >= 2").drop("columns")
+
+
+def graphic_regions(candidates: DataFrame) -> DataFrame:
+    """Candidates (box, kind) that lie in no larger one, in order from the top, with their id.
+
+    Of equal boxes the one of least (kind, id) is kept.
+    """
+    own = candidates.select(*PAGE, "id", "kind", *BOX)
+    other = own.select(*PAGE, F.col("id").alias("o_id"), F.col("kind").alias("o_kind"), *[F.col(c).alias(f"o_{c}") for c in BOX])
+    larger = (area(box("o_")) > area(box())) | ((area(box("o_")) == area(box())) & (F.struct("o_kind", "o_id") < F.struct("kind", "id")))
+    held = own.join(other, PAGE).where((F.col("id") != F.col("o_id")) & contains(box("o_"), box()) & larger).select(*PAGE, "id").distinct()
+    kept = own.join(held, [*PAGE, "id"], "left_anti")
+    order = Window.partitionBy(*PAGE).orderBy(F.desc("y1"), "x0", "kind", "id")
+    return kept.withColumn("region_id", F.format_string("p%04d-graphic-%03d", "page_number", F.row_number().over(order)))
+
+
+def table_notes(lines: DataFrame, tables: DataFrame, near: int = 30_000) -> DataFrame:
+    """doc_id, page_number, id, table_id of the lines right below a table that begin like a note; the nearest table counts."""
+    t = tables.select(*PAGE, F.col("id").alias("table_id"), *[F.col(c).alias(f"t_{c}") for c in BOX])
+    gap = F.col("t_y0") - F.col("y1")
+    met = lines.where(F.col("text").rlike(NOTE_START)).join(t, PAGE).where(gap.between(-1000, near) & (shared_length(F.col("x0"), F.col("x1"), F.col("t_x0"), F.col("t_x1")) > 0))
+    return met.groupBy(*PAGE, "id").agg(F.min(F.struct(gap.alias("g"), "table_id")).alias("m")).select(*PAGE, "id", F.col("m.table_id").alias("table_id"))
+
+
+def equation_zones(lines: DataFrame) -> DataFrame:
+    """doc_id, page_number, id of the lines around a numbered equation: between the nearest prose above and below its label.
+
+    Prose is a line of six words or more. Both neighbours are found in one sweep of the page in order.
+    """
+    prose = F.size(F.split(F.trim("text"), r"\s+")) >= 6
+    marked = lines.withColumn("prose", prose).withColumn("label", F.col("text").rlike(EQUATION_LABEL) & ~prose)
+    down = Window.partitionBy(*PAGE).orderBy(F.desc("y1"), "x0", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zoned = marked.withColumn("zone", F.sum(F.when(F.col("prose"), 1).otherwise(0)).over(down))
+    labels = zoned.where("label").select(*PAGE, "zone").distinct()
+    return zoned.where(~F.col("prose")).join(labels, [*PAGE, "zone"], "left_semi").select(*PAGE, "id")
+
+
+def captions(lines: DataFrame, regions: DataFrame, limit: int = 50_000) -> DataFrame:
+    """Captions with the nearest region: doc_id, page_number, caption_id, kind, number, region_id (null if none is near)."""
+    from quirespark.operators.extraction import nearest_box
+
+    own = lines.where(F.col("text").rlike(CAPTION))
+    kind = F.when(F.col("text").rlike(TABLE_CAPTION), "table").otherwise("figure")
+    named = own.select(*PAGE, F.col("id").alias("caption_id"), kind.alias("kind"), F.regexp_extract("text", r"(\d+)", 1).alias("number"))
+    return named.join(nearest_box(own, regions, PAGE, limit).drop("away"), [*PAGE, "caption_id"], "left")

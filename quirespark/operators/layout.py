@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from quirespark.operators.grouped import by_group
+
 # What may not begin or end a line, and tokens that are not broken.
 NOT_FIRST = "，。、；：！？）》」』】〕〉”’…％%℃°,.!?;:)]}"
 NOT_LAST = "（《「『【〔〈“‘([{¥$£€"
@@ -165,33 +167,34 @@ def paginated(flows: DataFrame, key: str, order: str, page_height: int, gap: int
     depends on those before, so a document is one group.
     """
 
-    def place(pages: pd.DataFrame) -> pd.DataFrame:
-        rows = pages.sort_values([order, "id"], kind="stable").reset_index(drop=True)
+    def place(name: tuple, rows: list[dict]) -> list[tuple]:
+        rows = sorted(rows, key=lambda r: (r[order], r["id"]))
         out, page, top = [], 1, 0
-        for k, f in rows.iterrows():
-            if f.line_height > page_height:
-                return pd.DataFrame(columns=[key, "id", "part", "page", "line_start", "line_end"])
+        for k, f in enumerate(rows):
+            height, lines = f["line_height"], f["lines"]
+            if height > page_height:
+                return []
             top += gap if top else 0
             done = part = 0
-            while done < f.lines:
-                if done == 0 and f.role == "heading":
-                    need, left = f.lines * f.line_height, keep_with_next
-                    for _, n in rows.iloc[k + 1 :].iterrows():
-                        take = min(left, n.lines)
-                        need += gap + take * n.line_height
+            while done < lines:
+                if done == 0 and f["role"] == "heading":
+                    need, left = lines * height, keep_with_next
+                    for n in rows[k + 1 :]:
+                        take = min(left, n["lines"])
+                        need += gap + take * n["line_height"]
                         left -= take
                         if not left:
                             break
                     if top and need <= page_height < top + need:
                         page, top = page + 1, 0
-                fit = min(f.lines - done, (page_height - top) // f.line_height)
+                fit = min(lines - done, (page_height - top) // height)
                 if fit > 0:
-                    out.append((f[key], f.id, part, page, done, done + fit))
-                    done, part, top = done + fit, part + 1, top + fit * f.line_height
-                if done < f.lines:
+                    out.append((*name, f["id"], part, page, done, done + fit))
+                    done, part, top = done + fit, part + 1, top + fit * height
+                if done < lines:
                     page, top = page + 1, 0
-        return pd.DataFrame(out, columns=[key, "id", "part", "page", "line_start", "line_end"])
+        return out
 
     kind = flows.schema[key].dataType.simpleString()
     sound = flows.select(key, order, "id", "role", F.col("lines").cast("long").alias("lines"), F.col("line_height").cast("long").alias("line_height")).where("lines > 0 and line_height > 0")
-    return sound.groupBy(key).applyInPandas(place, f"{key} {kind}, id string, part long, page long, line_start long, line_end long")
+    return by_group(sound.where(F.col(order).isNotNull()), [key], [order, "id", "role", "lines", "line_height"], place, f"{key} {kind}, id string, part long, page long, line_start long, line_end long")

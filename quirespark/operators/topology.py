@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirespark.functions.geometry import box, contains, shared_length
+from quirespark.operators.grouped import by_group
 from quirespark.operators.intervals import chain_clusters, gaps, persistence, separated
 
 PAGE = ["doc_id", "page_number"]
@@ -65,13 +65,13 @@ def recursive_cut(boxes: DataFrame, minimum_x: int, minimum_y: int) -> DataFrame
         for r in rows:
             out[r[0]] = path or "/"
 
-    def cut(page: pd.DataFrame) -> pd.DataFrame:
+    def cut(key: tuple, page: list[dict]) -> list[tuple]:
         out: dict[str, str] = {}
-        split(list(page[["id", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)), "", out)
-        return page[[*PAGE, "id"]].assign(path=page.id.map(out))
+        split([(r["id"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in page], "", out)
+        return [(*key, name, path) for name, path in out.items()]
 
     sound = boxes.select(*PAGE, "id", "x0", "y0", "x1", "y1").dropna().where("x0 < x1 and y0 < y1")
-    return sound.groupBy(*PAGE).applyInPandas(cut, "doc_id string, page_number int, id string, path string")
+    return by_group(sound, PAGE, ["id", "x0", "y0", "x1", "y1"], cut, "doc_id string, page_number int, id string, path string")
 
 
 def column_anchors(boxes: DataFrame, keys: list[str], tolerance: int, separation: int) -> DataFrame:

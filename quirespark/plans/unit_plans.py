@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirespark.functions import markers, text
 from quirespark.functions.geometry import mpt
 from quirespark.operators import intervals, layout, records, review, selection, topology, units
-from quirespark.sources.tables import table
+from quirespark.sources.tables import spread, table
 
 SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 PAIRS_SQL = "(select distinct u.doc_id, u.id unit_id, u.source_text, t.chinese_text target_text from semantic_unit u join translation t on t.doc_id = u.doc_id and t.unit_id = u.id)"
@@ -147,7 +147,7 @@ LEXICON_SQL = "with p as (select * from " + PAIRS_SQL + " where target_text is n
 
 def mechanical_check(spark: SparkSession, folder: str) -> DataFrame:
     """All eleven categories; the lookarounds have no counterpart in the SQL engine, so literal cases test them."""
-    found = review.issue_hashes(review.mechanical_check(pair_rows(spark, folder)))
+    found = review.issue_hashes(review.mechanical_check(spread(pair_rows(spark, folder), "doc_id", "unit_id")))
     return found.select("doc_id", "unit_id", "category", F.array_join("source_markers", "|").alias("source_markers"), F.array_join("target_markers", "|").alias("target_markers"), "issue_hash")
 
 
@@ -367,7 +367,7 @@ select doc_id, id, coalesce(lag(e) over w, 0) x, e - coalesce(lag(e) over w, 0)
 
 
 def line_breaks(spark: SparkSession, folder: str) -> DataFrame:
-    own = translation_rows(spark, folder, "chinese_text").where("chinese_text is not null")
+    own = spread(table(spark, folder, "translation").select("doc_id", "unit_id", "chinese_text"), "doc_id", "unit_id").dropDuplicates(["doc_id", "unit_id"]).where("chinese_text is not null")
     return layout.line_breaks(own, "chinese_text", 300_000).select("doc_id", "unit_id", F.size("lines").cast("long").alias("n"), F.sha2(F.array_join("lines", "\n"), 256).alias("hash"))
 
 

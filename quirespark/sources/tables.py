@@ -32,6 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """``frame`` by keys over as many tasks as ``spark.sql.shuffle.partitions`` says.
+
+    For work that costs far more than its bytes tell: adaptive planning would put small rows of it into few tasks. A
+    deduplication by the same keys needs no further shuffle.
+    """
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """``frame`` written to the shared folder, without its lineage; survives the loss of executors."""
     shared_folder(frame.sparkSession)
