@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.sources.tables import table
+from quirespark.sources.tables import spread, table
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -18,9 +18,8 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 def units(spark: SparkSession, folder: str) -> DataFrame:
     """annotation_index, units delivered twice once (they are equal but for loaded_at, so the first hash serves)."""
-    return (
-        table(spark, folder, "annotation_index").select("doc_id", "unit_id", "source_text", "target_text").dropDuplicates(["doc_id", "unit_id"])
-    )
+    rows = table(spark, folder, "annotation_index").select("doc_id", "unit_id", "unit_role", "source_text", "target_text")
+    return spread(rows, "doc_id", "unit_id").dropDuplicates(["doc_id", "unit_id"])
 
 
 def by_batch(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
