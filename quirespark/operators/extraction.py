@@ -208,3 +208,18 @@ def meeting(boxes: DataFrame, keys: list[str], tolerance: int = 0, strip: int =
 def referenced(column: Column) -> Column:
     """Whether a text mentions a figure or table."""
     return column.rlike(MENTION)
+
+
+def attached_affixes(chars: DataFrame, lines: DataFrame, reach: int = 3_000) -> DataFrame:
+    """doc_id, page_number, id, line_id, kind of the small characters that belong to a line as raised or lowered marks.
+
+    A mark is at most 3/4 as large as the line's characters, begins within ``reach`` of the line's box in x, and has its
+    middle above or below the line's middle by an eighth of its height at least while still meeting the box. The line that
+    is nearest in x, then in y, then of least id takes it.
+    """
+    own = lines.select(*PAGE, F.col("id").alias("line_id"), F.col("max_font_size_mpt").alias("size"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")])
+    met = chars.join(own, PAGE).where((F.col("font_size_mpt") * 4 <= F.col("size") * 3) & meets(box("l_"), box(), reach) & (F.col("y0") <= F.col("l_y1")) & (F.col("y1") >= F.col("l_y0")))
+    off = (F.col("y0") + F.col("y1")) - (F.col("l_y0") + F.col("l_y1"))
+    away = distance(F.col("x0"), F.col("x1"), F.col("l_x0"), F.col("l_x1"))
+    marked = met.where(F.abs(off) * 4 >= F.col("l_y1") - F.col("l_y0")).groupBy(*PAGE, "id").agg(F.min(F.struct(away.alias("a"), F.abs(off).alias("o"), "line_id", off.alias("off"))).alias("m"))
+    return marked.select(*PAGE, "id", F.col("m.line_id").alias("line_id"), F.when(F.col("m.off") > 0, "raised").otherwise("lowered").alias("kind"))
