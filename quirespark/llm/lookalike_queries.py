@@ -35,7 +35,7 @@ def lookalike_pairs(records: DataFrame) -> DataFrame:
     so the work follows the result.
     """
     known = with_normal_form(records.where("text is not null"), out="shape")
-    shapes = known.select("kind", "key", F.rtrim(F.ltrim("shape")) != "", *[c.alias(n) for c, n in zip([*two_hashes("kind", "place", "shape"), *two_hashes("text")], ("g1", "g2", "t1", "t2"), strict=True)]).toDF("kind", "key", "seen", "g1", "g2", "t1", "t2")
+    shapes = known.select("kind", "key", F.col("shape").rlike(r"\S"), *[c.alias(n) for c, n in zip([*two_hashes("kind", "place", "shape"), *two_hashes("text")], ("g1", "g2", "t1", "t2"), strict=True)]).toDF("kind", "key", "seen", "g1", "g2", "t1", "t2")
     shapes = cut(shapes.where("seen or kind <> 'document'").drop("seen"))
     group = ["g1", "g2"]
     mixed = shapes.groupBy(*group).agg(F.min("t1").alias("least"), F.max("t1").alias("most")).where("least <> most").select(*group)

@@ -60,7 +60,7 @@ def pairs_of(text: str) -> tuple[list[int], dict[int, int]]:
     for m in BRACKETS.finditer(text):
         c, i = m[0], m.start()
         if c == '"':
-            if any(x[1] == '"' for x in stack):
+            if any(x[1] == '"' for x in stack[-50:]):
                 while stack[-1][1] != '"':
                     stack.pop()
                 closed[stack.pop()[0]] = i
