@@ -137,7 +137,8 @@ def language(text: str) -> str:
         name, n = scripts.most_common(1)[0]
         if (name == "kana" and n >= 2 and n * 4 >= han) or (name != "greek" and n > han + letters // 2):
             return name
-    if han * 4 >= letters + han and han:
+    small = sum(map(len, re.findall(r"\b[^\W\d_A-ZÀ-Þ一-鿿][^\W\d_一-鿿]*", text))) if han else 0
+    if han and (han * 4 >= letters + han or han * 2 >= small):  # names in Latin letters are no running text
         return "zh"
     votes: Counter[str] = Counter()
     for w in re.findall(r"[^\W\d_]+", text.lower()):
@@ -205,7 +206,7 @@ def truncated(source: str, target: str, role: str, finals: Finals) -> bool:
     mark = final_mark(target)
     if mark:
         inner = core.rstrip(CLOSING).rstrip()
-        if mark == "." and inner[-2:-1].isdigit() and "。" in target and re.search(r"\d*$", inner[:-1])[0] != re.search(r"(\d*)\D*$", source)[1]:
+        if mark == "." and inner[-2:-1].isdigit() and "。" in target and not re.search("[㐀-鿿][.．]", target) and re.search(r"\d*$", inner[:-1])[0] != re.search(r"(\d*)\D*$", source)[1]:
             return True  # a point within a number
         if core[-1] in "”」』\"" and mark in "！？!?":  # a quotation at the end must have been announced
             opened = max(core.rfind(c, 0, len(core) - 1) for c in "“「『\"")
