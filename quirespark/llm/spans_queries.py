@@ -181,11 +181,20 @@ def shared_spans(documents: DataFrame) -> DataFrame:
         .select("rep", "owner", "many", "text", F.explode("runs").alias("r"))
         .select("rep", "owner", F.col("r.print").alias("print"), F.col("r.n").alias("n"), F.col("r.first").cast("long").alias("first"), F.expr(f"substring(text, r.first + 1, r.last - r.first + {LEAST})").alias("snippet"), (~F.col("many")).alias("asked"))
     )
-    usual = snippets.where(F.col("n") <= HOT).withColumn("shard", F.pmod(F.col("print"), F.lit(shards)))
+    # most snippets inside a shared stretch are equal in all of its documents: those are shared as a whole, and one of them,
+    # owned by none of the documents, stands for all in the index
+    s1, s2 = two_hashes("snippet")
+    hashed = snippets.withColumns({"s1": s1, "s2": s2})
+    same = hashed.groupBy("print", "s1", "s2").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a <> b").select("print", "s1", "s2")
+    equal = hashed.join(same, ["print", "s1", "s2"], "left_semi")
+    whole = equal.where("asked").select("rep", F.col("first").alias("span_start"), (F.col("first") + F.length("snippet")).alias("span_end"))
+    one = equal.dropDuplicates(["print", "s1", "s2"]).withColumns({"owner": F.col("s2"), "asked": F.lit(False)})
+    indexed = hashed.join(same, ["print", "s1", "s2"], "left_anti").unionByName(one).drop("s1", "s2")
+    usual = indexed.where(F.col("n") <= HOT).withColumn("shard", F.pmod(F.col("print"), F.lit(shards)))
     spread = usual.repartition(int(shards), "shard")
     found = spread.groupBy("shard").applyInArrow(_search_shard, "rep long, span_start long, span_end long")
-    hot = _search_hot(snippets.where(F.col("n") > HOT))
-    in_classes = merged(found.unionByName(hot), "rep")
+    hot = _search_hot(indexed.where(F.col("n") > HOT))
+    in_classes = merged(found.unionByName(hot).unionByName(whole), "rep")
     lone = named.join(classes.where("rep = other").select("t1", "t2"), ["t1", "t2"], "left_semi")
     parts = lone.select("doc_id", F.col("t1").alias("rep")).join(in_classes, "rep").select("doc_id", "span_start", "span_end")
     copies = named.join(classes.where("rep <> other").select("t1", "t2"), ["t1", "t2"], "left_semi").select("doc_id", F.lit(0).cast("long").alias("span_start"), F.col("size").alias("span_end"))
