@@ -45,6 +45,10 @@ TAIL = re.compile(r"[\s​﻿]*(?:(?:\[\d+(?:[,，–-]\s?\d+)*\]|[⁰¹²³⁴-
 CLOSING = "”’\"'」』）)】»》"
 LINES = {"title", "heading", "keywords"}
 WORD = re.compile(r"[^\W_]")
+IDEOGRAPHS = re.compile("[㐀-鿿]+")
+LEAD = 80
+LEAD_END = re.compile(r"[\W_]+")
+LEAD_MARK = re.compile(r"[:：\n—“\"「『*]+")
 
 
 def bare(text: str) -> str:
@@ -84,10 +88,11 @@ class SuffixAutomaton:
             last = new
         self.go, self.link, self.length = go, link, length
 
-    def covered(self, text: str, least: int) -> int:
-        """Characters of ``text`` within its matches of at least ``least`` characters."""
+    def stretches(self, text: str, least: int) -> list[tuple[int, int]]:
+        """Start and end of the parts of ``text`` within its matches of at least ``least`` characters, none overlapping."""
         go, link, length = self.go, self.link, self.length
-        state = size = reach = total = 0
+        found = []
+        state = size = reach = 0
         for i, c in enumerate(text):
             while state and c not in go[state]:
                 state = link[state]
@@ -97,9 +102,13 @@ class SuffixAutomaton:
             else:
                 size = 0
             if size >= least:
-                total += i + 1 - max(reach, i + 1 - size)
+                found.append((max(reach, i + 1 - size), i + 1))
                 reach = i + 1
-        return total
+        return found
+
+    def covered(self, text: str, least: int) -> int:
+        """Characters of ``text`` within its matches of at least ``least`` characters."""
+        return sum(b - a for a, b in self.stretches(text, least))
 
 
 @lru_cache(maxsize=1)
@@ -220,19 +229,43 @@ def truncated(source: str, target: str, role: str, finals: Finals) -> bool:
     return not finals.ends(core)
 
 
+def copied(source: str, target: str, lang: str) -> str | None:
+    """'copy' where an answer repeats the prompt, 'truncated' where it is a few words of the prompt and nothing else.
+
+    At least 80 % of the answer must be the prompt's, with or without a lead-in of at most ``LEAD`` characters. Behind a
+    lead-in, 80 % of the prompt must come as well, and in an answer that counts as Chinese a mark must part the two, so
+    that an explained name is no copy.
+    """
+    chinese = lang == "zh"
+    if chinese and len(IDEOGRAPHS.sub("", target)) * 2 < len(source):
+        return None
+    own, given = bare(target), bare(source)
+    alphabet = set(given)
+    shared = sum(c in alphabet for c in own)
+    if not own or (shared * 10 < 8 * len(own) and shared * 10 < 8 * len(given)):  # so much cannot be copied
+        return None
+    if chinese and (shared * 10 < 8 * len(given) or language(source) == "zh"):
+        return None
+    least = max(3, min(12, len(own) // 2, len(given) // 2))
+    found = SuffixAutomaton(given).stretches(own, least)
+    if not chinese and sum(b - a for a, b in found) * 10 >= 8 * len(own):
+        return "copy" if len(own) * 5 >= 2 * len(given) else "truncated"  # a few words of it are no repetition
+    for m in (LEAD_MARK if chinese else LEAD_END).finditer(target[:LEAD]):
+        first = len(bare(target[: m.end()]))
+        size = sum(b - max(a, first) for a, b in found if b > first)
+        if size and size * 10 >= 8 * max(len(given), len(own) - first):
+            return "copy"
+    return None
+
+
 def defect(source: str | None, target: str | None, role: str, finals: Finals) -> str | None:
     """The defect of an answer, or None."""
     if target is None or not WORD.search(target):
         return "empty"
     lang = language(target)
     prompt = source or ""
-    if lang != "zh":
-        own, given = bare(target), bare(prompt)
-        alphabet = set(given)
-        if own and sum(c in alphabet for c in own) * 10 >= 8 * len(own):  # else so much cannot be copied
-            least = max(3, min(12, len(own) // 2))
-            if SuffixAutomaton(given).covered(own, least) * 10 >= 8 * len(own):
-                return "copy" if len(own) * 5 >= 2 * len(given) else "truncated"  # a few words of it are no repetition
+    if (repeats := copied(prompt, target, lang)) is not None:
+        return repeats
     if len(target) < 400:
         flat = "".join(c for c in target.casefold() if c.isalnum())
         hit = next(iter(refusal_automaton().iter(flat)), None)

@@ -124,6 +124,23 @@ def test_defects(source, target, expected):
     assert pairs.defect(source, target, "body", finals) == expected
 
 
+@pytest.mark.parametrize(
+    ("source", "target", "expected"),
+    [
+        ("Limits of the substrate", "Translation: Limits of the substrate", "copy"),
+        ("A film", "Translation: a film", "copy"),
+        ("The film grew over the probe.", "Sure, here is the translation of the text: The film grew over the probe.", "copy"),
+        ("The film grew over the probe.", "译文：THE FILM GREW OVER THE PROBE.", "copy"),
+        ("The film grew.", "以下是这段文字的译文：THE FILM GREW.", "copy"),
+        ("Using MODIS", "使用MODIS", None),
+        ("MODIS", "中分辨率成像光谱仪 MODIS", None),
+        ("The film grew over the probe.", "Le film est une couche de la sonde.", "wrong_language"),
+    ],
+)
+def test_copies_behind_a_lead_in(source, target, expected):
+    assert pairs.defect(source, target, "heading", pairs.Finals.fit([])) == expected
+
+
 def test_suffix_automaton_equals_brute_force():
     random.seed(2)
     for _ in range(200):
