@@ -28,7 +28,22 @@ REFUSALS = {
     "ja": "翻訳できません 翻訳することができません お手伝いできません 申し訳ありませんが 対応できません お断り",
     "ko": "번역할수없습니다 도와드릴수없습니다 죄송하지만 처리할수없습니다",
     "ru": "немогуперевести немогупомочь извинитено ксожалениюя какассистент",
+    "it": "nonpossotradurre nonpossoaiutar nonsonoingrado midispiacema sonospiacentema comeassistente rifiutoditradurre impossibiletradurre",
+    "pt": "nãopossotraduzir nãoconsigotraduzir nãopossoajudar nãoconsigoajudar lamentomas desculpemas sintomuitomas comoassistente recusotraduzir nãomeépossível",
+    "ar": "لاأستطيعترجمة لايمكننيترجمة لاأستطيعمساعدتك لايمكننيمساعدتك لاأستطيعالمساعدة لايمكننيالمساعدة أعتذرعنترجمة بصفتيمساعدا تعذرتالترجمة",
+    "hi": "अनुवाद नहीं कर सकत|अनुवाद करने में असमर्थ|मदद नहीं कर सकत|सहायता नहीं कर सकत|अनुवाद करना संभव नहीं|क्षमा करें लेकिन",
+    "th": "ไม่สามารถแปล|แปลไม่ได้|ไม่สามารถช่วย|ขออภัยแต่|ปฏิเสธที่จะแปล|ในฐานะผู้ช่วย",
 }
+# What a sentence about the request itself holds, where the answer speaks of itself, of who asked, or of translating.
+ABOUT = re.compile(
+    r"我(?!们|們|国)|您|你|翻译|翻譯|译文|译者|请求|抱歉|对不起|遗憾|助手|如需|内容受限|换一段|其他文本"
+    r"|\b(?:I|I['’]m|I['’]d|me|my|you|your|please|sorry|apolog\w+|unfortunately|translat\w+|request\w*|assist\w*|je|j['’]\w+|vous|votre|désolée?|tradu\w+|ich|sie|ihnen|ihre?|bitte|leider|übersetz\w+|lo siento|usted|su solicitud|por favor|mi dispiace|posso|você|desculp\w+|lamento)\b"
+    r"|перев[оеё]|извин|запрос|翻訳|申し訳|ください|번역|죄송|도와|ترجم|عذر|طلب|अनुवाद|क्षमा|अनुरोध|แปล|ขออภัย|คำขอ",
+    re.I,
+)
+# A source that itself says that something cannot be done, or regrets; its rendering says so, too.
+DECLINING = re.compile(r"\b(?:cannot|can['’]?t|could not|couldn['’]t|unable|not (?:be )?able|not possible|impossible|refus\w+|declin\w+|sorry|regret\w*|assistants?)\b", re.I)
+SENTENCE_ENDS = re.compile(r"[。！？!?؟।\n]+|\.(?=\s|$)|(?<=[฀-๿])\s+(?=[฀-๿])")
 # Stopwords by language.
 STOPWORDS = {
     "en": "the of and to in is was that for it with as on by at from are were this which be not or an we our each a how under its",
@@ -46,6 +61,7 @@ CLOSING = "”’\"'」』）)】»》"
 LINES = {"title", "heading", "keywords"}
 WORD = re.compile(r"[^\W_]")
 IDEOGRAPHS = re.compile("[㐀-鿿]+")
+KEPT = re.compile(r"\d+(?:[.,]\d+)*|[A-Z][A-Za-z]{2,}")
 LEAD = 80
 LEAD_END = re.compile(r"[\W_]+")
 LEAD_MARK = re.compile(r"[:：\n—“\"「『*]+")
@@ -56,6 +72,10 @@ def bare(text: str) -> str:
     return "".join(c for c in normal_form(text).casefold() if c.isalnum())
 
 
+def flat(text: str) -> str:
+    return "".join(c for c in text.casefold() if c.isalnum())
+
+
 class SuffixAutomaton:
     """All substrings of a text as paths from state 0."""
 
@@ -115,8 +135,8 @@ class SuffixAutomaton:
 def refusal_automaton() -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for lang, phrases in REFUSALS.items():
-        for phrase in phrases.split():
-            automaton.add_word(phrase, lang)
+        for phrase in phrases.split("|") if "|" in phrases else phrases.split():
+            automaton.add_word(flat(phrase), lang)
     automaton.make_automaton()
     return automaton
 
@@ -258,6 +278,33 @@ def copied(source: str, target: str, lang: str) -> str | None:
     return None
 
 
+def refuses(source: str, target: str) -> bool:
+    """Whether an answer of any length declines instead of translating.
+
+    A sentence with a phrase of refusal counts wherever it stands; where the source says that something cannot be done,
+    it must also be about the request. The sentences that decline or are about the request must make up most of the
+    answer, and no other sentence may hold a number or name of the source, as a rendered one does.
+    """
+    if next(refusal_automaton().iter(flat(target)), None) is None:
+        return False
+    strict = DECLINING.search(source) is not None
+    given = set(KEPT.findall(source))
+    declines, about, other = False, 0, 0
+    for part in SENTENCE_ENDS.split(target):
+        own = flat(part)
+        near = ABOUT.search(part) is not None
+        if next(refusal_automaton().iter(own), None) is not None and (near or not strict):
+            declines = True
+            about += len(own)
+        elif near:
+            about += len(own)
+        elif own:
+            if not given.isdisjoint(KEPT.findall(part)):
+                return False
+            other += len(own)
+    return declines and about > other
+
+
 def defect(source: str | None, target: str | None, role: str, finals: Finals) -> str | None:
     """The defect of an answer, or None."""
     if target is None or not WORD.search(target):
@@ -266,11 +313,8 @@ def defect(source: str | None, target: str | None, role: str, finals: Finals) ->
     prompt = source or ""
     if (repeats := copied(prompt, target, lang)) is not None:
         return repeats
-    if len(target) < 400:
-        flat = "".join(c for c in target.casefold() if c.isalnum())
-        hit = next(iter(refusal_automaton().iter(flat)), None)
-        if hit is not None and hit[0] < 60:
-            return "refusal"
+    if refuses(prompt, target):
+        return "refusal"
     if lang not in ("zh", "none"):
         return "wrong_language"
     return "truncated" if lang == "zh" and truncated(prompt, target, role, finals) else None

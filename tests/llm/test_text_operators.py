@@ -141,6 +141,26 @@ def test_copies_behind_a_lead_in(source, target, expected):
     assert pairs.defect(source, target, "heading", pairs.Finals.fit([])) == expected
 
 
+@pytest.mark.parametrize(
+    ("target", "expected"),
+    [
+        ("I'm sorry, but I can't translate this passage. " + "Please send me another text and I will gladly look at your request. " * 8, "refusal"),
+        ("Thank you very much for your request, and for telling me so plainly what you would like me to render. I can't translate this passage.", "refusal"),
+        ("非常感谢您的来信，也感谢您把想要翻译的段落和它的背景都写得这样清楚，使我很快明白您要我做的是什么事情，也明白您为什么要我做这件事情。我无法翻译这段内容。", "refusal"),
+        ("Mi dispiace, ma non posso tradurre questo testo.", "refusal"),
+        ("Desculpe, mas não posso traduzir este texto.", "refusal"),
+        ("عذراً، لا أستطيع ترجمة هذا النص.", "refusal"),
+        ("क्षमा करें, मैं इस पाठ का अनुवाद नहीं कर सकता।", "refusal"),
+        ("ขออภัย ฉันไม่สามารถแปลข้อความนี้ได้", "refusal"),
+        ("薄膜在35号探针上生长。样品不能处理。", None),
+        ("Le film est une couche de la sonde. La valeur est dans le tableau et ne change pas.", "wrong_language"),
+    ],
+)
+def test_refusals_of_any_length(target, expected):
+    source = "The film grew on probe 35. The sample could not be processed."
+    assert pairs.defect(source, target, "body", pairs.Finals.fit(["薄膜生长。"] * 3)) == expected
+
+
 def test_suffix_automaton_equals_brute_force():
     random.seed(2)
     for _ in range(200):
