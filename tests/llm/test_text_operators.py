@@ -198,6 +198,17 @@ def test_doubly_wrong_and_lost(mender):
     assert mender.damage("lost � here") == (True, None, "")
 
 
+@pytest.mark.parametrize("name", ["cp1252", "latin_1", "cp437", "mac_roman", "cp1251", "gb18030"])
+def test_lost_characters_decoded_once_more(mender, name):
+    table = {b: c for c, b in mojibake.byte_of(name).items()} if name != "gb18030" else {}
+    again = "".join(table[b] for b in "�".encode()) if table else "��".encode().decode(name)
+    assert mender.damage(f"the value {again} rose")[0] and mender.damage(again)[0]
+
+
+def test_a_run_with_a_lost_character_is_undone(mender):
+    assert mender.damage("caf" + "é�".encode().decode("cp1252"))[:2] == (True, "café�")
+
+
 @pytest.mark.parametrize("sound", ["SÃO VELMO", "Âlbertiz", "“naïve” …", "Датчик был проверен", "毛驴在图5中", "Теѕt оf ѕреесh", "Quémârt–Çelikýn", "", None, "plain"])
 def test_sound_text_stays(mender, sound):
     assert mender.damage(sound) == (False, None, "")
