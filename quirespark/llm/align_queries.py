@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.llm.align import Concepts, choose, concept_pairs, spans
-from quirespark.llm.pairs import LINES, Finals, defect
+from quirespark.llm.pairs import LINES, defect
+from quirespark.llm.pairs_queries import finals_model
 from quirespark.llm.records import by_batch, units
-from quirespark.llm.sentences import MaxEnt, sentences, train
+from quirespark.llm.sentences import MaxEnt, sentences
+from quirespark.llm.sentences_queries import sentence_model
 from quirespark.sources.tables import cut
 
 LEAST, GAIN = 0.15, 0.02
@@ -23,10 +25,11 @@ class Models:
     or two sentences become the shared concepts. The bounds hold for the models only; every unit is aligned."""
 
     def __init__(self, frame: DataFrame, sample: int = 4096, concepts: int = 1024) -> None:
-        rows = frame.where("target_text is not null and source_text is not null").orderBy(F.xxhash64("source_text", "target_text")).limit(sample).collect()
-        rows = sorted({(r.unit_role or "", r.source_text, r.target_text) for r in rows})
-        self.boundaries = train(t for _, a, b in rows[:2000] for t in (a, b))
-        self.finals = Finals.fit(b for _, _, b in rows)
+        # the models of p2_found and p3_found, so that sentences and defects are theirs
+        self.boundaries = sentence_model(frame)
+        self.finals = finals_model(frame)
+        paired = frame.where("target_text is not null and source_text is not null").select("unit_role", "source_text", "target_text").distinct()
+        rows = [(r.unit_role or "", r.source_text, r.target_text) for r in paired.orderBy(F.xxhash64("source_text", "target_text"), "unit_role").limit(sample).collect()]
         chosen = []
         for role, source, target in rows:
             if len(chosen) < concepts and role not in LINES and defect(source, target, role, self.finals) is None:

@@ -240,6 +240,14 @@ def test_alignment(spark):
     assert rows(align_queries.aligned(frame.limit(0), align_queries.Models(frame.limit(0)))) == []
 
 
+def test_alignment_splits_as_the_sentence_query(spark):
+    data = [("d", str(k), "body" if k % 2 else "abstract", f"Probe {k} rose at 7 p.m. Nobody left. It fell.", f"探针{k}上升。没有人离开。") for k in range(40)]
+    frame = spark.createDataFrame(data + data, "doc_id string, unit_id string, unit_role string, source_text string, target_text string")
+    models = align_queries.Models(frame, sample=10)
+    assert models.boundaries.weights == sentences_queries.sentence_model(frame).weights
+    assert models.finals.before == pairs_queries.finals_model(frame).before
+
+
 def test_merged_windows_pair_both():
     singles = {(0, 0): 0.6, (1, 0): 0.4, (2, 1): 0.9}
     assert align.choose(singles, {(0, 0): 0.8, (1, 1): 0.5}, {}, 0.15, 0.02) == {(0, 0), (1, 0), (2, 1)}
