@@ -1,14 +1,20 @@
 """Problem 8: long stretches that stand verbatim in more than one document.
 
-Every stretch of ``LEAST`` characters (a window) gets the least hash of its ``GRAM``-grams as its fingerprint, which
-depends on the window's content alone: equal windows meet under equal fingerprints. Only fingerprints of two or more
-documents go on. Windows in a row with one fingerprint form a snippet; snippets are gathered by fingerprint into shards
-of bounded size, a compressed FM-index is built over each shard, and backward search gives, for every place of a snippet,
-whether its window also stands in a snippet of another document. Whole copies are one class of texts from the start.
+Every stretch of ``LEAST`` characters (a window) gets the least hash of its grams as its fingerprint, which depends on the
+window's content alone: equal windows meet under equal fingerprints. Windows in a row with one fingerprint form a snippet;
+those whose fingerprint only one document has are dropped, the others are gathered by fingerprint into shards of bounded
+size. A compressed FM-index is built over each shard and every snippet is streamed through it by backward search, which
+gives its matching statistics: for every place of a snippet, whether its window also stands in a snippet of another document.
+A snippet that many documents hold alike stands in the index for two of them and is streamed once; its intervals hold for
+all. A fingerprint with too many different snippets is split by the fingerprint of longer grams, in the end by that of the
+window itself, so no shard grows with the data.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,39 +22,55 @@ from pyspark.sql import functions as F
 
 from quirespark.llm.fmindex import FMIndex
 from quirespark.llm.lookalike import code_points
-from quirespark.llm.records import by_batch, two_hashes
+from quirespark.llm.records import by_batch, slices
 from quirespark.sources.tables import cut, table
 
-LEAST, GRAM = 200, 32
+LEAST = 200
+#: Characters of the grams of each level; of the last one a gram is the window. A longer gram is shared by fewer windows.
+GRAMS = (96, 152, LEAST)
 #: A snippet holds at most so many windows, a shard about so many characters, a fingerprint in a shard so many snippets.
 WIDEST, SHARD, HOT = 256, 1_200_000, 2_000
-BASE = np.uint64(0x9E3779B97F4A7C15)
-RUNS = "rep long, print long, first int, last int"
+BASE, OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+RUNS = "doc_id long, t long, print long, first int, last int, s1 long, s2 long"
+NAMES = [c.split()[0] for c in RUNS.split(", ")]
+SNIPPET = ["print", "s1", "s2"]
+
+
+@lru_cache(maxsize=8)
+def _power_table(size: int, base: int) -> np.ndarray:
+    out = np.ones(size, np.uint64)
+    filled = 1
+    while filled < size:
+        m = min(filled, size - filled)
+        out[filled : filled + m] = out[:m] * np.uint64(pow(base, filled, 2**64))
+        filled += m
+    return out
 
 
 def _powers(n: int, base: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    step, filled = np.uint64(base), 1
-    while filled < n:
-        m = min(filled, n - filled)
-        out[filled : filled + m] = out[:m] * step
-        step, filled = step * step, filled + m
-    return out
+    return _power_table(1 << max(18, (n - 1).bit_length()), base)[:n]
 
 
-def gram_hashes(points: np.ndarray, size: int, base: int = int(BASE)) -> np.ndarray:
-    """A hash of each ``size`` characters in a row, which depends on them alone."""
-    with np.errstate(over="ignore"):
-        inverse = pow(base, -1, 2**64)
-        up, down = _powers(len(points) + 1, base), _powers(len(points) + 1, inverse)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
-        h = (sums[size:] - sums[:-size]) * down[: len(points) - size + 1]
+class Hashes:
+    """Hashes of any stretches of ``points``, which depend on the stretch's characters and length alone."""
+
+    def __init__(self, points: np.ndarray, base: int = BASE) -> None:
+        self.up, self.down = _powers(len(points) + 1, base), _powers(len(points) + 1, pow(base, -1, 2**64))
+        self.sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * self.up[:-1], dtype=np.uint64, out=self.sums[1:])
+
+    def of(self, a: np.ndarray | slice, b: np.ndarray | slice) -> np.ndarray:
+        h = (self.sums[b] - self.sums[a]) * self.down[a]
         h ^= h >> np.uint64(30)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(27)
         h *= np.uint64(0x94D049BB133111EB)
         return h ^ (h >> np.uint64(31))
 
+    def grams(self, size: int) -> np.ndarray:
+        n = len(self.sums) - size
+        return self.of(slice(0, n), slice(size, size + n))
+
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     span = 1
@@ -59,146 +81,140 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def fingerprint_runs(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, fingerprint, first and last window of each run of windows with one fingerprint; texts one after the other."""
-    none = np.zeros(0, np.int64)
+def fingerprint_runs(points: np.ndarray, offsets: np.ndarray, gram: int, asked: np.ndarray | None = None) -> list[np.ndarray]:
+    """Row, fingerprint, first and last window and two hashes of each run of windows with one fingerprint; texts stand one
+    after the other. ``asked``: which places begin a window that counts."""
+    none = [np.zeros(0, np.int64)] * 6
     if len(points) < LEAST:
-        return none, none, none, none
-    least = sliding_least(gram_hashes(points, GRAM), LEAST - GRAM + 1)
-    starts = np.arange(len(least))
-    row = np.searchsorted(offsets, starts, side="right") - 1
-    own = starts + LEAST <= offsets[row + 1]
-    starts, row, least = starts[own], row[own], least[own]
+        return none
+    one = Hashes(points)
+    least = sliding_least(one.grams(gram), LEAST - gram + 1)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
+    own = np.arange(len(least)) + LEAST <= offsets[row + 1]
+    if asked is not None:
+        own &= asked[: len(least)]
+    starts = np.flatnonzero(own)
     if not len(starts):
-        return none, none, none, none
+        return none
+    row, least = row[starts], least[starts]
     place = starts - offsets[row]
     fresh = np.ones(len(starts), bool)
-    fresh[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+    fresh[1:] = (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1) | (row[1:] != row[:-1])
     begin = np.maximum.accumulate(np.where(fresh, np.arange(len(starts)), 0))
     fresh |= (np.arange(len(starts)) - begin) % WIDEST == 0  # equal windows stay within equal fingerprints
     at = np.flatnonzero(fresh)
-    last = np.append(at[1:], len(starts)) - 1
-    return row[at], least[at].view(np.int64), place[at], place[last]
-
-
-def runs_of(texts: DataFrame) -> DataFrame:
-    """rep, print, first, last of the runs of each text (rep, text)."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        points, offsets = code_points(batch.column(1))
-        row, prints, first, last = fingerprint_runs(points, offsets)
-        rep = batch.column(0).to_numpy()[row]
-        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(prints), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["rep", "print", "first", "last"])
-
-    return by_batch(texts.select("rep", "text"), work, RUNS)
+    end = np.append(at[1:], len(starts)) - 1
+    two = Hashes(points, OTHER)
+    sums = [h.of(starts[at], starts[end] + LEAST).view(np.int64) for h in (one, two)]
+    return [row[at], least[at].view(np.int64), place[at], place[end], *sums]
+
+
+def runs_of(documents: DataFrame, level: int, within: bool = False) -> DataFrame:
+    """``RUNS`` of each text (doc_id, t, text); ``within``: only of windows in its ``runs`` (array of first, last)."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch, 2, 1_000_000):
+            points, offsets = code_points(part.column(2))
+            asked = None
+            if within:
+                lists = part.column(3)
+                held = np.repeat(offsets[:-1], np.diff(lists.offsets.to_numpy()))
+                first, last = (lists.flatten().field(k).to_numpy() + held for k in (0, 1))
+                steps = np.zeros(len(points) + 1, np.int64)
+                np.add.at(steps, first, 1)
+                np.add.at(steps, last + 1, -1)
+                asked = np.cumsum(steps)[:-1] > 0
+            row, *found = fingerprint_runs(points, offsets, GRAMS[level], asked)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            columns = [part.column(k).to_numpy(zero_copy_only=False)[row] for k in (0, 1)] + found
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=NAMES)
+
+    return by_batch(documents.select("doc_id", "t", "text", *(["runs"] if within else [])), work, RUNS)
 
 
 def _islands(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last of each run of numbers one after the other."""
-    if not len(places):
-        return places, places
     gap = np.flatnonzero(np.diff(places) > 1) + 1
     return places[np.append(0, gap)], places[np.append(gap, len(places)) - 1]
 
 
 def _search_shard(group: pa.Table) -> pa.Table:
-    texts = group.column("snippet").combine_chunks()
-    points, offsets = code_points(texts)
+    """Intervals of every asked snippet of a shard that stand in a snippet of another document, too."""
+    points, offsets = code_points(group.column("snippet").combine_chunks())
     parts = [points[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    owners = group.column("owner").to_numpy()
-    reps, firsts, asked = (group.column(c).to_numpy() for c in ("rep", "first", "asked"))
-    index = FMIndex(parts, owners)
+    asked = group.column("asked").to_numpy()
+    index = FMIndex(parts, group.column("owner").to_numpy())
     name, place = index.shared(np.flatnonzero(asked), LEAST)
     order = np.lexsort((place, name))
     name, place = name[order], place[order]
-    out: list[np.ndarray] = [[], [], []]
+    rows, first, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     cuts = np.flatnonzero(np.diff(name)) + 1
     for own, at in zip(np.split(name, cuts), np.split(place, cuts), strict=True) if len(name) else ():
-        first, last = _islands(at + firsts[own[0]])
-        out[0].append(np.full(len(first), reps[own[0]]))
-        out[1].append(first)
-        out[2].append(last + LEAST)
-    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-    return pa.table({"rep": pa.array(flat[0], pa.int64()), "span_start": pa.array(flat[1], pa.int64()), "span_end": pa.array(flat[2], pa.int64())})
-
-
-def _search_hot(snippets: DataFrame) -> DataFrame:
-    """The same for fingerprints of more than ``HOT`` snippets: windows meet by two hashes, combined before the shuffle, so
-    that no group is ever gathered."""
-
-    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        points, offsets = code_points(batch.column(3))
-        if len(points) < LEAST:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=["rep", "owner", "place", "h1", "h2"])
-        one, two = gram_hashes(points, LEAST), gram_hashes(points, LEAST, 0xD1B54A32D192ED03)
-        starts = np.arange(len(one))
-        row = np.searchsorted(offsets, starts, side="right") - 1
-        own = starts + LEAST <= offsets[row + 1]
-        row, starts = row[own], starts[own]
-        first = batch.column(2).to_numpy()
-        values = (batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], starts - offsets[row] + first[row], one[own].view(np.int64), two[own].view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], names=["rep", "owner", "place", "h1", "h2"])
-
-    each = by_batch(snippets.select("rep", "owner", "first", "snippet"), windows, "rep long, owner long, place long, h1 long, h2 long")
-    shared = each.groupBy("h1", "h2").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a <> b").select("h1", "h2")
-    return each.join(shared, ["h1", "h2"], "left_semi").select("rep", F.col("place").alias("span_start"), (F.col("place") + LEAST).alias("span_end"))
-
-
-def merged(spans: DataFrame, key: str) -> DataFrame:
+        a, b = _islands(at)
+        rows.append(np.full(len(a), own[0]))
+        first.append(a)
+        last.append(b + LEAST)
+    row = np.concatenate(rows)
+    keys = {c: pa.array(group.column(c).to_numpy()[row], pa.int64()) for c in SNIPPET}
+    return pa.table({**keys, "a": pa.array(np.concatenate(first), pa.int64()), "b": pa.array(np.concatenate(last), pa.int64())})
+
+
+def merged(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Spans of one key that overlap or touch as one."""
-    before = Window.partitionBy(key).orderBy("span_start", "span_end").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.when(F.col("span_start") <= F.max("span_end").over(before), 0).otherwise(1)
-    run = Window.partitionBy(key).orderBy("span_start", "span_end").rowsBetween(Window.unboundedPreceding, 0)
-    return spans.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(run)).groupBy(key, "island").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).drop("island")
+    order = Window.partitionBy(*keys).orderBy("span_start", "span_end")
+    reach = F.max("span_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("span_start") <= reach, 0).otherwise(1)
+    island = F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return spans.withColumn("fresh", fresh).withColumn("island", island).groupBy(*keys, "island").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).drop("island")
+
+
+def _shared(runs: DataFrame) -> DataFrame:
+    """The runs whose fingerprint two documents have. The count combines before the shuffle, so a fingerprint of very many
+    documents is no hot group there; the join with it is left to adaptive planning, which splits skewed keys."""
+    prints = runs.groupBy("print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("print")
+    return cut(runs.join(prints, "print", "left_semi").select(*NAMES))
+
+
+def snippet_runs(texts: DataFrame) -> DataFrame:
+    """All runs with a fingerprint of two documents or more, those of fingerprints with more than ``HOT`` different snippets
+    replaced by the runs of the next level. At the last level a fingerprint has one snippet."""
+    done: DataFrame | None = None
+    runs = _shared(runs_of(texts, 0))
+    for level in range(len(GRAMS)):
+        crowded = runs.select(*SNIPPET).distinct().groupBy("print").count().where(F.col("count") > HOT).select("print")
+        crowded = cut(crowded) if level + 1 < len(GRAMS) else None
+        if crowded is None or crowded.isEmpty():
+            return runs if done is None else done.unionByName(runs)
+        usual = runs.join(crowded, "print", "left_anti")
+        done = usual if done is None else done.unionByName(usual)
+        again = runs.join(crowded, "print", "left_semi").groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs"))
+        runs = _shared(runs_of(texts.join(again, ["doc_id", "t"]), level + 1, within=True))
+    return done
 
 
 def shared_spans(documents: DataFrame) -> DataFrame:
     """doc_id, span_start, span_end of the maximal runs of characters that lie in stretches of ``LEAST`` or more characters
     which another document holds verbatim.
 
-    Null, empty and short texts give no row; a repetition within one document doesn't count; repeated rows count once.
+    Null, empty and short texts give no row; a repetition within one document doesn't count; repeated rows count once. Of a
+    document delivered with several texts each text's spans come out, never merged with one another's.
     """
     spark = documents.sparkSession
-    rows = documents.select("doc_id", "text").where(F.length("text") >= LEAST)
-    h1, h2 = two_hashes("text")
-    named = rows.select("doc_id", h1.alias("t1"), h2.alias("t2"), F.length("text").cast("long").alias("size"))
-    classes = named.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.max("size").alias("size"))
-    classes = cut(classes)
-    chosen = classes.select(F.col("rep").alias("doc_id"), "t1", "t2", (F.col("rep") != F.col("other")).alias("many"))
-    # a document may be delivered with more than one text, so a text is named by its own hash and owned by its document
-    texts = rows.withColumns({"t1": h1, "t2": h2}).join(chosen, ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"]).select(F.col("t1").alias("rep"), F.when(F.col("many"), F.col("t2")).otherwise(F.col("doc_id")).alias("owner"), "many", "text")
-    owners = texts.select("rep", "owner", "many")
-    runs = cut(runs_of(texts).join(owners, "rep"))
-    prints = runs.groupBy("print").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.count("*").alias("n"), F.sum(F.col("last") - F.col("first") + LEAST).alias("chars")).where("a <> b").select("print", "n", "chars")
-    shared = runs.join(prints, "print")
-    asked = cut(shared.groupBy("rep", "owner", "many").agg(F.sort_array(F.collect_list(F.struct("first", "last", "print", "n"))).alias("runs")))
-    total = prints.where(F.col("n") <= HOT).agg(F.sum("chars")).first()[0] or 0
+    texts = documents.where(F.length("text") >= LEAST).select("doc_id", F.xxhash64("text").alias("t"), "text")
+    runs = snippet_runs(texts)
+    different = cut(runs.groupBy(*SNIPPET).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "t", "first", "last")).alias("at")))
+    total = different.agg(F.sum(F.col("at.last") - F.col("at.first") + LEAST)).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, -(-total // SHARD))
 
-    snippets = cut(
-        texts.select("rep", "text")
-        .join(asked, "rep")
-        .select("rep", "owner", "many", "text", F.explode("runs").alias("r"))
-        .select("rep", "owner", F.col("r.print").alias("print"), F.col("r.n").alias("n"), F.col("r.first").cast("long").alias("first"), F.expr(f"substring(text, r.first + 1, r.last - r.first + {LEAST})").alias("snippet"), (~F.col("many")).alias("asked"))
-    )
-    # most snippets inside a shared stretch are equal in all of its documents: those are shared as a whole, and one of them,
-    # owned by none of the documents, stands for all in the index
-    s1, s2 = two_hashes("snippet")
-    hashed = snippets.withColumns({"s1": s1, "s2": s2})
-    same = hashed.groupBy("print", "s1", "s2").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a <> b").select("print", "s1", "s2")
-    equal = hashed.join(same, ["print", "s1", "s2"], "left_semi")
-    whole = equal.where("asked").select("rep", F.col("first").alias("span_start"), (F.col("first") + F.length("snippet")).alias("span_end"))
-    one = equal.dropDuplicates(["print", "s1", "s2"]).withColumns({"owner": F.col("s2"), "asked": F.lit(False)})
-    indexed = hashed.join(same, ["print", "s1", "s2"], "left_anti").unionByName(one).drop("s1", "s2")
-    usual = indexed.where(F.col("n") <= HOT).withColumn("shard", F.pmod(F.col("print"), F.lit(shards)))
-    spread = usual.repartition(int(shards), "shard")
-    found = spread.groupBy("shard").applyInArrow(_search_shard, "rep long, span_start long, span_end long")
-    hot = _search_hot(indexed.where(F.col("n") > HOT))
-    in_classes = merged(found.unionByName(hot).unionByName(whole), "rep")
-    lone = named.join(classes.where("rep = other").select("t1", "t2"), ["t1", "t2"], "left_semi")
-    parts = lone.select("doc_id", F.col("t1").alias("rep")).join(in_classes, "rep").select("doc_id", "span_start", "span_end")
-    copies = named.join(classes.where("rep <> other").select("t1", "t2"), ["t1", "t2"], "left_semi").select("doc_id", F.lit(0).cast("long").alias("span_start"), F.col("size").alias("span_end"))
-    return parts.unionByName(copies).distinct()
+    wanted = different.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.t").alias("t")).agg(F.collect_list(F.struct(*SNIPPET, "least", "most", "at")).alias("runs"))
+    each = texts.join(wanted, ["doc_id", "t"]).select("doc_id", "t", "text", F.explode("runs").alias("r")).dropDuplicates(["doc_id", "t", "r"])
+    snippet = F.expr(f"substring(text, r.at.first + 1, r.at.last - r.at.first + {LEAST})")
+    owners = F.array_distinct(F.array("r.least", "r.most"))
+    indexed = each.select(*[F.col(f"r.{c}").alias(c) for c in SNIPPET], snippet.alias("snippet"), F.posexplode(owners).alias("k", "owner")).withColumn("asked", F.col("k") == 0).drop("k")
+    gathered = indexed.withColumn("shard", F.pmod("print", F.lit(shards))).repartition(int(shards), "shard")
+    found = gathered.groupBy("shard").applyInArrow(_search_shard, "print long, s1 long, s2 long, a long, b long")
+    spans = runs.join(found, SNIPPET).select("doc_id", "t", (F.col("first") + F.col("a")).alias("span_start"), (F.col("first") + F.col("b")).alias("span_end"))
+    return merged(spans, ["doc_id", "t"]).drop("t").distinct()
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

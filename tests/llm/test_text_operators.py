@@ -326,7 +326,7 @@ def brute(docs, least):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
+@pytest.mark.parametrize("hot", [2000, 2, 1])
 def test_shared_spans_equal_brute_force(spark, hot, monkeypatch):
     monkeypatch.setattr(spans_queries, "HOT", hot)
     random.seed(5)
@@ -337,6 +337,9 @@ def test_shared_spans_equal_brute_force(spark, hot, monkeypatch):
     for i in range(30):
         body = text(random.randint(0, 60)) + random.choice(["", *common])[: random.randint(100, 400)] + text(random.randint(0, 60))
         docs.append((i, body))
+    notice = text(40)[:150]  # too short to be shared, and in many documents
+    docs += [(50 + i, text(40) + notice + text(40)) for i in range(12)]
+    docs += [(70 + i, text(20) + common[1] + text(20)) for i in range(6)]
     docs += [(30, docs[3][1]), (31, "ab" * 300), (32, "ab" * 200 + "c"), (33, common[0] + "x" + common[0]), (34, "水" * 250)]
     frame = spark.createDataFrame([*docs, docs[0], (40, None), (41, "")], "doc_id long, text string").withColumn("owner", F.lit("clash"))
     assert [tuple(r) for r in sorted(spans_queries.shared_spans(frame).collect())] == brute(docs, spans_queries.LEAST)
