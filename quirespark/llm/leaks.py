@@ -45,14 +45,15 @@ def longest(same: np.ndarray, least: int) -> tuple[int, int] | None:
     hits = np.flatnonzero(same)
     if len(hits) * ONE_IN < least * (ONE_IN - 1):
         return None
-    # with m matches up to a place, a stretch from hit i to hit j has j - i + 1 matches among hits[j] - hits[i] + 1 places
-    n = hits[None, :] - hits[:, None] + 1
-    misses = n - (np.arange(len(hits))[None, :] - np.arange(len(hits))[:, None] + 1)
-    good = (n >= least) & (misses * ONE_IN <= n)
-    if not good.any():
-        return None
-    i, j = divmod(int(np.argmax(np.where(good, n, 0))), len(hits))
-    return int(hits[i]), int(hits[j]) + 1
+    # of a stretch from hit i to hit j 7 n <= 8 m holds, n its places and m its matches, if a[j] >= a[i] - 1 for the a below;
+    # the farthest such j of an i comes from the greatest a behind it, and only an i with a new least a can begin the longest
+    a = ONE_IN * np.arange(len(hits)) - (ONE_IN - 1) * hits
+    ahead = np.maximum.accumulate(a[::-1])[::-1]
+    first = np.flatnonzero(a == np.minimum.accumulate(a))
+    last = len(a) - 1 - np.searchsorted(ahead[::-1], a[first] - 1)
+    n = hits[last] - hits[first] + 1
+    k = int(np.argmax(n))
+    return (int(hits[first[k]]), int(hits[last[k]]) + 1) if n[k] >= least else None
 
 
 class Items:

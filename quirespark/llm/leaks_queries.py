@@ -6,10 +6,11 @@ from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quirespark.llm.leaks import Items, plain_texts
 from quirespark.llm.records import by_batch
-from quirespark.sources.tables import table
+from quirespark.sources.tables import cut, table
 
 #: Items of one automaton; of more items, blocks of so many are held against all documents one after the other.
 BLOCK = 20_000
@@ -23,11 +24,12 @@ def _items(rows: tuple) -> Items:
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, span_start, span_end of the longest passage of each item in each document that holds one.
 
-    Null and empty texts hold nothing; documents delivered twice give equal rows. Items are read to the driver in blocks
-    of ``BLOCK``, a test suite being small; no document leaves its task.
+    Null and empty texts hold nothing; documents delivered twice give equal rows. Items come to the driver in blocks of
+    ``BLOCK`` by hash, one at a time: each of several blocks is held against all documents and its result written before the
+    next is read. No document leaves its task.
     """
-    rows = sorted((r.item_id, r.lang, r.text) for r in items.select("item_id", "lang", "text").where("text is not null").distinct().toLocalIterator())
-    blocks = [tuple(rows[i : i + BLOCK]) for i in range(0, max(1, len(rows)), BLOCK)]
+    own = items.select("item_id", "lang", "text").where("text is not null").distinct()
+    number = -(-own.count() // BLOCK)
 
     def scan(block: tuple) -> DataFrame:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -41,7 +43,13 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
         return by_batch(documents.select("doc_id", "text").where("text is not null"), work, "doc_id long, item_id long, span_start long, span_end long")
 
-    return reduce(DataFrame.unionByName, map(scan, blocks))
+    if number <= 1:
+        return scan(tuple(sorted((r.item_id, r.lang, r.text) for r in own.collect())))
+    found = []
+    for k in range(number):
+        part = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == k)
+        found.append(cut(scan(tuple(sorted((r.item_id, r.lang, r.text) for r in part.collect())))))
+    return reduce(DataFrame.unionByName, found)
 
 
 def p7_spans(spark: SparkSession, folder: str) -> DataFrame:

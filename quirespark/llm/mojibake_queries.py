@@ -5,12 +5,12 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirespark.llm.mojibake import Mender, train
 from quirespark.llm.records import by_batch
-from quirespark.sources.tables import table
+from quirespark.sources.tables import spread, table
 
 #: Characters that sound texts of the five languages have beyond ASCII; a text with any other is no training text.
 SOUND = r"^[\x09-\x7e¡«°±µ»¿ÄÉÖÜß-ïñ-ü–‘-”…、-】一-鿿！-？]*$"
@@ -22,10 +22,16 @@ def dictionaries(documents: DataFrame, each: int = 300) -> dict[str, bytes]:
     model of the languages; every record is weighed by it."""
     lang = F.lower("lang")
     sound = documents.select(lang.alias("lang"), "text").where(F.col("lang").isin(*TRAINED) & F.length("text").between(80, 20_000)).where(~F.col("text").rlike("[ÂÃ][\u0080-¿]") & F.col("text").rlike(SOUND))
-    ranked = sound.withColumn("h", F.xxhash64("text"))
-    samples = {}
-    for name in TRAINED:
-        samples[name] = [r.text for r in ranked.where(F.col("lang") == name).orderBy("h").limit(each).collect()]
+    hashed = sound.select("lang", F.xxhash64("text").alias("h"), "text")
+    # the hashes alone are ranked, each task's least ones first, so no text is sorted or shuffled
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    bounds = dict(hashed.select("lang", "h").distinct().withColumn("n", rank).where(F.col("n") <= each).groupBy("lang").agg(F.max("h")).collect())
+    samples: dict[str, list[str]] = {lang: [] for lang in bounds}
+    wanted = F.lit(False)
+    for lang, bound in bounds.items():
+        wanted |= (F.col("lang") == lang) & (F.col("h") <= bound)
+    for r in hashed.where(wanted).distinct().orderBy("lang", "h").collect():
+        samples[r.lang].append(r.text)
     return train(samples)
 
 
@@ -59,7 +65,8 @@ def mended(records: DataFrame, models: dict[str, bytes]) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in found], names=["kind", "rec_key", "mended_text", "chain"])
 
     suspect = records.where(F.octet_length("text") > F.length("text")).select("kind", "rec_key", "text")
-    return by_batch(suspect, work, "kind string, rec_key string, mended_text string, chain string")
+    # a long text costs far more than its bytes: the few suspects are spread over all tasks by their key
+    return by_batch(spread(suspect, "kind", "rec_key"), work, "kind string, rec_key string, mended_text string, chain string")
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:

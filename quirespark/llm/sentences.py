@@ -9,6 +9,7 @@ reliable boundaries: marks whose surroundings leave no doubt, labelled by ``cert
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -56,22 +57,22 @@ def pairs_of(text: str) -> tuple[list[int], dict[int, int]]:
     """For each position the start of the innermost bracket or quotation that holds it (-1: none), and the places where
     each pair closes. Openings without an end and ends without an opening count for nothing."""
     stack: list[tuple[int, str]] = []
+    waiting: Counter[str] = Counter()  # open marks by what closes them
     closed: dict[int, int] = {}
+
+    def close(c: str, i: int) -> None:
+        while stack[-1][1] != c:
+            waiting[stack.pop()[1]] -= 1
+        waiting[c] -= 1
+        closed[stack.pop()[0]] = i
+
     for m in BRACKETS.finditer(text):
         c, i = m[0], m.start()
-        if c == '"':
-            if any(x[1] == '"' for x in stack[-50:]):
-                while stack[-1][1] != '"':
-                    stack.pop()
-                closed[stack.pop()[0]] = i
-            else:
-                stack.append((i, '"'))
-        elif any(x[1] == c for x in stack[-3:]) and not (c == "“" and stack[-1][1] != "“"):
-            while stack[-1][1] != c:
-                stack.pop()
-            closed[stack.pop()[0]] = i
-        elif c in OPEN:
-            stack.append((i, OPEN[c]))
+        if waiting[c] and not (c == "“" and stack[-1][1] != "“"):
+            close(c, i)
+        elif c == '"' or c in OPEN:
+            stack.append((i, OPEN.get(c, c)))
+            waiting[stack[-1][1]] += 1
     inside = [-1] * (len(text) + 1)
     for a in sorted(closed):
         inside[a + 1 : closed[a]] = [a] * (closed[a] - a - 1)

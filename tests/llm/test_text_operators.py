@@ -48,6 +48,8 @@ def test_lookalike_pairs(spark):
     frame = spark.createDataFrame(data, "kind string, place string, key string, text string")
     assert rows(lookalike_queries.lookalike_pairs(frame)) == [("line", "d/1", "d/2"), ("line", "d/2", "d/3")]
     assert rows(lookalike_queries.lookalike_pairs(frame.limit(0))) == []
+    assert {(r.key, r.links) for r in lookalike_queries.lookalike_classes(frame).collect()} == {("d/1", 1), ("d/2", 2), ("d/3", 1)}
+    assert rows(lookalike_queries.lookalike_classes(frame.limit(0))) == []
     wide = lookalike_queries.with_normal_form(frame.withColumn("normal_text", F.lit("clash")).withColumn("key", F.lit(7)))
     assert wide.columns.count("normal_text") == 1 and wide.where("text is null and normal_text is not null").count() == 0
 
@@ -359,3 +361,37 @@ def test_index_equals_brute_force():
             for i in range(len(t) - least + 1):
                 held.setdefault(t[i : i + least], set()).add(int(owners[k]))
         assert set(zip(name.tolist(), at.tolist(), strict=True)) == {(k, i) for k, t in enumerate(texts) for i in range(len(t) - least + 1) if len(held[t[i : i + least]]) > 1}
+
+
+def test_chains_and_runs_of_any_length(mender):
+    text = "at 5 °C now"
+    for _ in range(6):
+        text = text.encode().decode("latin_1")
+    assert mender.damage(text)[1] == "at 5 °C now"
+    assert mender.damage("中文".encode("gb18030").decode("cp1252"))[:2] == (True, "中文")
+    assert mender.damage("Bréünoç größere ÖÐa") == (False, None, "")
+
+
+def test_pairs_of_any_depth():
+    text = "[（（（（（a. b] c. " + '"' + "(" * 80 + 'x. y" z.'
+    _, closed = sentences.pairs_of(text)
+    assert closed[0] == text.index("]")
+    assert closed[text.index('"')] == text.rindex('"')
+
+
+def test_longest_passage_equals_brute_force():
+    random.seed(7)
+    for _ in range(400):
+        same = np.asarray([random.random() < 0.85 for _ in range(random.randint(1, 40))])
+        least = random.choice([1, 5, 15])
+        hits = np.flatnonzero(same)
+        sizes = [b - a + 1 for a in hits for b in hits if b >= a and b - a + 1 >= least and 8 * int((~same[a : b + 1]).sum()) <= b - a + 1]
+        found = leaks.longest(same, least)
+        assert (found[1] - found[0] if found else 0) == max(sizes, default=0)
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20))), (2, " ".join(f"v{i}" for i in range(20)))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "en", " ".join(f"w{i}" for i in range(20))), (2, "en", " ".join(f"v{i}" for i in range(20)))], "item_id long, lang string, text string")
+    monkeypatch.setattr(leaks_queries, "BLOCK", 1)
+    assert {(r.doc_id, r.item_id) for r in leaks_queries.leaks(docs, items).collect()} == {(1, 1), (2, 2)}
