@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quirespark.llm.align import Concepts, choose, concept_pairs, spans
 from quirespark.llm.pairs import LINES, defect
@@ -12,12 +14,14 @@ from quirespark.llm.pairs_queries import finals_model
 from quirespark.llm.records import by_batch, units
 from quirespark.llm.sentences import MaxEnt, sentences
 from quirespark.llm.sentences_queries import sentence_model
-from quirespark.sources.tables import cut
 
 LEAST, GAIN = 0.15, 0.02
 #: Defects whose answers are no renderings.
 NO_RENDERING = ("empty", "refusal", "copy", "wrong_language")
-SPANS = "unit long, doc_id string, unit_id string, side string, first int, wide int, starts array<long>, concepts array<int>, weights array<float>"
+SPANS = (
+    "doc_id string, unit_id string, source_starts array<bigint>, target_starts array<bigint>, "
+    "source array<struct<first:int,wide:int,entries:array<struct<concept:int,weight:float>>>>, target array<struct<first:int,wide:int,weights:map<int,float>>>"
+)
 
 
 class Models:
@@ -39,71 +43,79 @@ class Models:
 
 
 def span_vectors(frame: DataFrame, models: Models) -> DataFrame:
-    """Windows of one and two sentences of each unit and side with their sparse concept vectors."""
+    """One row a unit with a rendering: where the sentences of both sides start, and the sparse concept vectors of windows
+    of one and two of them. A unit of one sentence on both sides needs no vectors."""
     boundaries, finals, concepts = models.boundaries.weights, models.finals, models.concepts
+    schema = to_arrow_schema(StructType.fromDDL(SPANS))
+
+    def windows(texts: list[str], side: str) -> list[tuple[int, int, dict[int, float]]]:
+        parts = [concepts.parts(t, side) for t in texts]
+        found = []
+        for first, wide in spans(len(parts)):
+            own = parts[first] if wide == 1 else (parts[first][0] + parts[first + 1][0], parts[first][1] + parts[first + 1][1])
+            found.append((first, wide, concepts.vector(*own)))
+        return found
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = MaxEnt(boundaries)
-        out: list[list] = [[] for _ in range(9)]
-        for unit, doc, name, role, *texts in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+        out: list[list] = [[] for _ in range(6)]
+        for doc, name, role, *texts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if not texts[0] or defect(*texts, role or "", finals) in NO_RENDERING:
                 continue
             cuts = [sentences(t, model) for t in texts]
             alone = len(cuts[0]) == len(cuts[1]) == 1
-            for side, text, own in zip(("source", "target"), texts, cuts, strict=True):
-                parts = [] if alone else [concepts.parts(text[a:b], side) for a, b in own]
-                for first, wide in spans(len(own)):
-                    vector = {0: 1.0} if alone else concepts.vector(parts[first][0], parts[first][1]) if wide == 1 else concepts.vector(parts[first][0] + parts[first + 1][0], parts[first][1] + parts[first + 1][1])
-                    values = (unit, doc, name, side, first, wide, [a for a, _ in own[first : first + wide]], list(vector), list(vector.values()))
-                    for column, value in zip(out, values, strict=True):
-                        column.append(value)
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float32()))
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[c.split()[0] for c in SPANS.split(", ")])
+            source, target = ([] if alone else windows([t[a:b] for a, b in own], side) for t, own, side in zip(texts, cuts, ("source", "target"), strict=True))
+            values = (
+                doc,
+                name,
+                *([a for a, _ in own] for own in cuts),
+                [{"first": i, "wide": n, "entries": [{"concept": k, "weight": w} for k, w in v.items()]} for i, n, v in source],
+                [{"first": i, "wide": n, "weights": list(v.items())} for i, n, v in target],
+            )
+            for column, value in zip(out, values, strict=True):
+                column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+
+    return by_batch(frame.select("doc_id", "unit_id", "unit_role", "source_text", "target_text"), work, SPANS)
 
-    keyed = frame.select(F.xxhash64("doc_id", "unit_id").alias("unit"), "doc_id", "unit_id", "unit_role", "source_text", "target_text")
-    return by_batch(keyed, work, SPANS)
+
+#: The cosine of each two windows of a unit, at most one of them of two sentences, as one array in the unit's row.
+COSINES = """
+select doc_id, unit_id, source_starts, target_starts, flatten(transform(source, s -> transform(filter(target, t -> s.wide + t.wide <= 3), t -> named_struct(
+  'si', s.first, 'sn', s.wide, 'ti', t.first, 'tn', t.wide, 'likeness', aggregate(s.entries, 0D, (sum, e) -> sum + e.weight * coalesce(element_at(t.weights, e.concept), 0)))))) as cells
+from {vectors}
+"""
 
 
 def aligned(frame: DataFrame, models: Models) -> DataFrame:
     """doc_id, unit_id, source_start, target_start of the sentences that render each other.
 
-    Units without a Chinese rendering and sentences without a partner give no row; a unit of one sentence on both sides
-    pairs them. Omitted, added, moved, merged and split sentences are allowed.
+    Units without a Chinese rendering and sentences without a partner give no row. A unit of one sentence on both sides is
+    no question of likeness: the two are paired as they are. Omitted, added, moved, merged and split sentences are allowed.
+    All windows of a unit stand in its row, so nothing is shuffled. A unit given twice gives its pairs twice.
     """
-    spark = frame.sparkSession
-    vectors = cut(span_vectors(frame, models))  # read four times below
-    entries = vectors.select("unit", "side", "first", "wide", F.explode(F.arrays_zip("concepts", "weights")).alias("e")).select("unit", "side", "first", "wide", F.col("e.concepts").alias("concept"), F.col("e.weights").alias("weight"))
-    source = entries.where("side = 'source'")
-    target = entries.where("side = 'target'")
-    cosines = spark.sql(
-        """
-        select s.unit, s.first as si, s.wide as sn, t.first as ti, t.wide as tn, sum(s.weight * t.weight) as likeness
-        from {source} s join {target} t on s.unit = t.unit and s.concept = t.concept
-        where s.wide + t.wide <= 3
-        group by s.unit, s.first, s.wide, t.first, t.wide
-        """,
-        source=source,
-        target=target,
-    )
-    likely = cosines.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("si", "sn", "ti", "tn", "likeness"))).alias("cells"))
+    cosines = frame.sparkSession.sql(COSINES, vectors=span_vectors(frame, models))
 
     def select(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[], [], []]
-        for unit, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tables: dict[tuple[int, int], dict[tuple[int, int], float]] = {(1, 1): {}, (2, 1): {}, (1, 2): {}}
-            for c in cells:
-                tables[c["sn"], c["tn"]][c["si"], c["ti"]] = c["likeness"]
-            for i, j in sorted(choose(tables[1, 1], tables[2, 1], tables[1, 2], LEAST, GAIN)):
-                for column, value in zip(out, (unit, i, j), strict=True):
+        out: list[list] = [[], [], [], []]
+        for doc, unit, left, right, cells in zip(*(batch.column(i) for i in range(5)), strict=True):
+            left, right = left.as_py(), right.as_py()
+            if len(left) == len(right) == 1:
+                pairs = {(0, 0)}
+            else:
+                tables: dict[tuple[int, int], dict[tuple[int, int], float]] = {(1, 1): {}, (2, 1): {}, (1, 2): {}}
+                si, sn, ti, tn, likeness = (x.to_pylist() for x in cells.values.flatten())
+                for i, n, j, m, v in zip(si, sn, ti, tn, likeness, strict=True):
+                    if v > 0:
+                        tables[n, m][i, j] = v
+                pairs = choose(tables[1, 1], tables[2, 1], tables[1, 2], LEAST, GAIN)
+            for i, j in sorted(pairs):
+                for column, value in zip(out, (doc.as_py(), unit.as_py(), left[i], right[j]), strict=True):
                     column.append(value)
-        kinds = (pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["unit", "si", "ti"])
-
-    chosen = by_batch(likely, select, "unit long, si int, ti int")
-    single = vectors.where("wide = 1").select("unit", "doc_id", "unit_id", "side", "first", F.col("starts")[0].alias("start"))
-    left = single.where("side = 'source'").select("unit", "doc_id", "unit_id", F.col("first").alias("si"), F.col("start").alias("source_start"))
-    right = single.where("side = 'target'").select("unit", F.col("first").alias("ti"), F.col("start").alias("target_start"))
-    return chosen.join(left, ["unit", "si"]).join(right, ["unit", "ti"]).select("doc_id", "unit_id", "source_start", "target_start").distinct()
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "unit_id", "source_start", "target_start"])
+
+    return by_batch(cosines, select, "doc_id string, unit_id string, source_start long, target_start long")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
