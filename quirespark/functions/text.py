@@ -116,14 +116,16 @@ def token_overlap(left: Column, right: Column) -> Column:
     return (left == right) | ((least >= 2) & (F.size(F.array_intersect(left, right)) * 3 >= least * 2))
 
 
-def nth_position(text: Column, quote: Column, occurrence: int = 0) -> Column:
-    """0-based start of the nth occurrence, those that overlap counted; null if there are fewer or the quote is empty."""
+def nth_position(text: Column, quote: Column, occurrence: int | Column = 0) -> Column:
+    """0-based start of the nth occurrence, those that overlap counted; null if there are fewer, the quote is empty or the
+    number is null or negative."""
+    wanted = F.lit(occurrence) if isinstance(occurrence, int) else occurrence
     found = F.aggregate(
-        F.sequence(F.lit(0), F.lit(occurrence)),
+        F.sequence(F.lit(0), F.greatest(wanted.cast("int"), F.lit(0))),
         F.lit(0),
         lambda at, k: F.when((k > 0) & (at == 0), F.lit(0)).otherwise(F.call_function("locate", quote, text, at + 1)),
     )
-    return F.when((F.length(quote) > 0) & (found > 0), (found - 1).cast("long"))
+    return F.when((F.length(quote) > 0) & (wanted >= 0) & (found > 0), (found - 1).cast("long"))
 
 
 def rounded_share(part: Column, whole: Column, scale: int = 10_000) -> Column:

@@ -50,10 +50,7 @@ def assembled(units: DataFrame, drafts: DataFrame) -> tuple[DataFrame, DataFrame
     both = units.join(counts, keys, "full_outer")
     problem = F.when(F.col("n").isNull(), "missing").when(F.col("source_text").isNull(), "unknown").when(F.col("n") > 1, "repeated")
     single = drafts.join(counts.where("n = 1").select(*keys), keys).join(units.where("source_text is not null"), keys)
-    at = F.lit(None).cast("long")
-    for k in range(4):  # occurrences are small numbers
-        at = F.when(F.coalesce("occurrence", F.lit(0)) == k, nth_position(F.col("source_text"), F.col("quote"), k)).otherwise(at)
-    placed = single.withColumn("quote_start", at)
+    placed = single.withColumn("quote_start", nth_position(F.col("source_text"), F.col("quote"), F.coalesce("occurrence", F.lit(0))))
     lost = placed.where("quote is not null and quote_start is null").select(*keys, F.lit("quote").alias("problem"))
     problems = both.withColumn("problem", problem).where("problem is not null").select(*keys, "problem").unionByName(lost)
     return placed.where("quote is null or quote_start is not null"), problems

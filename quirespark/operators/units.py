@@ -66,7 +66,7 @@ def merged_units(blocks: DataFrame, keys: list[str], order: list[str], breaks: C
     judged = flow.withColumn("verdict", verdict)
     numbered = judged.withColumn("unit", F.sum(F.when(F.col("verdict") == "merge", 0).otherwise(1)).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     floats = blocks.where(floating).withColumn("verdict", F.lit("separate")).withColumn("unit", -F.row_number().over(window))
-    parts = F.array_sort(F.collect_list(F.struct(*order, "id", "text")))
+    parts = F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, "id", "text"]))))
     grouped = numbered.unionByName(floats).groupBy(*keys, "unit").agg(parts.alias("p"), F.min("confidence_ppm").alias("confidence_ppm"), F.max(F.col("verdict") == "review").alias("needs_review"))
     return grouped.select(*keys, F.col("unit").cast("long").alias("unit"), joined_fragments(F.transform("p", lambda x: x["text"])).alias("text"), F.transform("p", lambda x: x["id"]).alias("blocks"), "confidence_ppm", "needs_review")
 
@@ -102,7 +102,7 @@ def coverage(expected: DataFrame, given: DataFrame, keys: list[str]) -> DataFram
 
 
 def fragment_gaps(units: DataFrame) -> DataFrame:
-    """doc_id, id, position, problem of fragments that are empty or do not follow on from their block's last fragment."""
+    """doc_id, id, position, problem of fragments that are empty, overlap their block's last fragment or leave a gap behind it."""
     each = units.select("doc_id", "id", F.posexplode("fragments").alias("position", "f")).select("doc_id", "id", "position", "f.block_id", F.col("f.source_char_start").alias("a"), F.col("f.source_char_end").alias("b"))
     window = Window.partitionBy("doc_id", "block_id").orderBy("a", "b", "id", "position")
     problem = F.when(F.col("a") >= F.col("b"), "empty").when(F.col("a") < F.lag("b").over(window), "overlap")

@@ -118,30 +118,30 @@ select c.doc_id, c.page_number, c.id, b[2] container_id from c left join m using
 
 
 def box_meetings(spark: SparkSession, folder: str) -> DataFrame:
-    return extraction.meeting(lines(spark, folder, *BOX), PAGE)
+    """Lines that lie within 7 000 of one another."""
+    return extraction.meeting(lines(spark, folder, *BOX), PAGE, tolerance=7000)
 
 
 MEETING_SQL = f"""
 with l as (select * from {LINES_SQL})
 select a.doc_id, a.page_number, a.id, b.id other from l a join l b on a.doc_id = b.doc_id and a.page_number = b.page_number and a.id < b.id
-  and a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1
+  and a.x0 <= b.x1 + 7000 and b.x0 <= a.x1 + 7000 and a.y0 <= b.y1 + 7000 and b.y0 <= a.y1 + 7000
 """
 
 
 def line_overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages on which two lines share an area, with how many pairs do: the open test."""
-    met = extraction.meeting(lines(spark, folder, *BOX), PAGE)
-    own = lines(spark, folder, *BOX)
-    a = own.select(*PAGE, "id", *BOX)
+    """Pages on which two lines, set with 4 000 of leading on all sides, share an area, with how many pairs do: the open test."""
+    own = lines(spark, folder, *BOX).select(*PAGE, "id", *[(F.col(c) + d).alias(c) for c, d in zip(BOX, (-4000, -4000, 4000, 4000), strict=True)])
+    met = extraction.meeting(own, PAGE)
     b = own.select(*PAGE, F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in BOX])
-    both = met.join(a, [*PAGE, "id"]).join(b, [*PAGE, "other"]).where(overlaps(box(), box("o_")))
+    both = met.join(own, [*PAGE, "id"]).join(b, [*PAGE, "other"]).where(overlaps(box(), box("o_")))
     return both.groupBy(*PAGE).agg(F.count("*").alias("pairs"))
 
 
 LINE_OVERLAPS_SQL = f"""
 with l as (select * from {LINES_SQL})
 select a.doc_id, a.page_number, count(*) pairs from l a join l b on a.doc_id = b.doc_id and a.page_number = b.page_number and a.id < b.id
-  and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1 group by 1, 2
+  and a.x0 < b.x1 + 8000 and b.x0 < a.x1 + 8000 and a.y0 < b.y1 + 8000 and b.y0 < a.y1 + 8000 group by 1, 2
 """
 
 
@@ -285,18 +285,19 @@ def merged_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def character_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """Glyphs that a line names but no page has, and lines of a page that share a glyph."""
+    """Glyphs that a line names but that are no upright ones of a plain character on its page, and lines that share a place."""
     own = lines(spark, folder, "character_ids").select("doc_id", F.col("id").alias("line_id"), F.explode("character_ids").alias("id"))
-    missing = records.orphans(own, chars(spark, folder), ["doc_id", "id"]).groupBy("doc_id").agg(F.count("*").alias("missing"))
-    shared = records.repeated_keys(own.distinct(), ["doc_id", "id"]).groupBy("doc_id").agg(F.count("*").alias("shared"))
+    plain = chars(spark, folder, "text", "upright").where(F.col("upright") & F.col("text").rlike(r"^[\x21-\x7e]$"))
+    missing = records.orphans(own, plain, ["doc_id", "id"]).groupBy("doc_id").agg(F.count("*").alias("missing"))
+    shared = records.repeated_keys(own.select("doc_id", "line_id", F.substring_index("id", "-", -1).alias("place")).distinct(), ["doc_id", "place"]).groupBy("doc_id").agg(F.count("*").alias("shared"))
     both = missing.join(shared, "doc_id", "full_outer")
     return both.select("doc_id", F.coalesce("missing", F.lit(0)).cast("long").alias("missing"), F.coalesce("shared", F.lit(0)).cast("long").alias("shared"))
 
 
-AUDIT_SQL = f"""
-with o as (select doc_id, id line_id, unnest(character_ids) cid from {LINES_SQL}),
-m as (select doc_id, count(*) n from o where not exists (select 1 from page_char c where c.doc_id = o.doc_id and c.id = o.cid) group by 1),
-s as (select doc_id, count(*) n from (select doc_id, cid from (select distinct * from o) group by 1, 2 having count(*) > 1) group by 1)
+AUDIT_SQL = rf"""
+with o as (select doc_id, id line_id, unnest(character_ids) cid from {LINES_SQL}), p as (select distinct doc_id, id from page_char where upright and regexp_matches(text, '^[\x21-\x7e]$')),
+m as (select doc_id, count(*) n from o where not exists (select 1 from p where p.doc_id = o.doc_id and p.id = o.cid) group by 1),
+s as (select doc_id, count(*) n from (select doc_id, q from (select distinct doc_id, line_id, string_split(cid, '-')[-1] q from o) group by 1, 2 having count(*) > 1) group by 1)
 select doc_id, coalesce(m.n, 0) missing, coalesce(s.n, 0) shared from m full join s using (doc_id)
 """
 

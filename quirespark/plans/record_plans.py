@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.operators import intervals, records, topology
+from quirespark.sources.documents import strict_json
 from quirespark.sources.tables import table
 
 ACTION = {"signup": "add", "purchase": "restore", "view": "add", "click": "revoke", "error": "delete"}
@@ -132,15 +133,16 @@ KEYS_SQL = "select l_orderkey, l_linenumber, count(*) n from lineitem group by 1
 
 
 def orphan_renderings(spark: SparkSession, folder: str) -> DataFrame:
-    """Renderings without their unit, and units without a rendering."""
-    own = table(spark, folder, "semantic_unit").select("doc_id", F.col("id").alias("unit_id")).distinct()
-    other = table(spark, folder, "translation").select("doc_id", "unit_id").distinct()
+    """Delivered renderings without a heading or body unit of theirs, and units without a delivered rendering."""
+    own = table(spark, folder, "semantic_unit").where("role in ('heading', 'body')").select("doc_id", F.col("id").alias("unit_id")).distinct()
+    other = table(spark, folder, "annotation_index").where("target_text is not null").select("doc_id", "unit_id").distinct()
     a = records.orphans(other, own, ["doc_id", "unit_id"]).withColumn("lacks", F.lit("unit"))
     return a.unionByName(records.orphans(own, other, ["doc_id", "unit_id"]).withColumn("lacks", F.lit("rendering")))
 
 
 ORPHANS_SQL = """
-(select doc_id, unit_id, 'unit' lacks from translation except select doc_id, id, 'unit' from semantic_unit) union all (select doc_id, id, 'rendering' from semantic_unit except select doc_id, unit_id, 'rendering' from translation)
+(select doc_id, unit_id, 'unit' lacks from annotation_index where target_text is not null except select doc_id, id, 'unit' from semantic_unit where role in ('heading', 'body'))
+union all (select doc_id, id, 'rendering' from semantic_unit where role in ('heading', 'body') except select doc_id, unit_id, 'rendering' from annotation_index where target_text is not null)
 """
 
 
@@ -159,7 +161,7 @@ select user_id, event_id, s, (select max(p.s) from e p where p.event_type = 'pur
 
 def event_properties(spark: SparkSession, folder: str) -> DataFrame:
     """Properties of events by a fixed schema; a text that is no such object gives null."""
-    own = table(spark, folder, "events").withColumn("p", F.from_json("props", "k long"))
+    own = strict_json(table(spark, folder, "events"), "props", "k long").withColumn("p", F.when(~F.col("bad"), F.col("value")))
     return own.groupBy(F.col("p.k").alias("k")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("errors"))
 
 

@@ -96,15 +96,15 @@ where list_sort(a.w) = list_sort(b.w) or (least(len(a.w), len(b.w)) >= 2 and len
 
 
 def topic_tags(spark: SparkSession, folder: str) -> DataFrame:
-    """The tags that the glossary's terms give to each topic: last words, at most 8 and valid, else null."""
+    """The tags that the glossary's terms give to each topic and first letter: last words, null if they are more than 8."""
     own = table(spark, folder, "glossary").where("source is not null").withColumn("tag", F.substring_index(F.trim(F.lower("source")), " ", -1))
-    kept = own.groupBy("topic").agg(F.collect_list("tag").alias("tags")).withColumn("first8", F.slice(F.array_sort(F.array_distinct("tags")), 1, 8))
-    return kept.select("topic", F.array_join(text.tag_set(F.col("first8")), "|").alias("tags"), text.tag_set(F.col("tags")).isNull().alias("too_many"))
+    kept = own.groupBy("topic", F.substring("tag", 1, 1).alias("letter")).agg(F.collect_list("tag").alias("tags"))
+    return kept.select("topic", "letter", F.array_join(text.tag_set(F.col("tags")), "|").alias("tags"), F.size(F.array_distinct("tags")).cast("long").alias("n"))
 
 
 TAGS_SQL = r"""
-with g as (select topic, list_sort(list_distinct(list(string_split(trim(lower(source)), ' ')[-1]))) t from glossary where source is not null group by 1)
-select topic, array_to_string(t[1:8], '|') tags, len(t) > 8 too_many from g
+with g as (select topic, string_split(trim(lower(source)), ' ')[-1] tag from glossary where source is not null), t as (select topic, substr(tag, 1, 1) letter, list_sort(list_distinct(list(tag))) t from g group by 1, 2)
+select topic, letter, case when len(t) <= 8 then array_to_string(t, '|') end tags, len(t) n from t
 """
 
 
@@ -165,21 +165,22 @@ from (select doc_id, id, unnest(regexp_extract_all(source_text, '\[[0-9,;\s–
 def term_spans(spark: SparkSession, folder: str) -> DataFrame:
     """First and second place of the document's topical terms in each unit (0-based; null where there is none).
 
-    The glossary is a fixed table of about a hundred rows. Units meet only the terms whose last word they hold.
+    Units meet only the terms whose last word (letters and digits of any script) they hold as a word.
     """
     own = unit_rows(spark, folder, "source_text")
-    terms = table(spark, folder, "glossary").select(F.lower(F.trim("source")).alias("term")).where("term <> ''").distinct().withColumn("word", F.substring_index("term", " ", -1))
-    words = own.withColumn("word", F.explode(F.array_distinct(F.split(F.lower("source_text"), "[^a-z-]+"))))
+    terms = table(spark, folder, "glossary").select(F.lower(F.trim("source")).alias("term")).distinct()
+    terms = terms.withColumn("word", F.element_at(F.regexp_extract_all("term", F.lit(TERM_WORD), F.lit(0)), -1)).where("word is not null")
+    words = own.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("source_text"), F.lit(TERM_WORD), F.lit(0)))))
     met = words.join(terms, "word").withColumn("low", F.lower("source_text"))
     placed = met.select("doc_id", "id", "term", text.nth_position(F.col("low"), F.col("term")).alias("first_at"), text.nth_position(F.col("low"), F.col("term"), 1).alias("second_at"))
     return placed.where("first_at is not null")
 
 
+TERM_WORD = r"[\p{L}\p{N}]+"
 TERMS_SQL = rf"""
-with t as (select distinct lower(trim(source)) term from glossary where trim(source) <> ''), u as (select doc_id, id, lower(source_text) s from {UNITS_SQL}),
-w as (select distinct doc_id, id, s, unnest(regexp_split_to_array(s, '[^a-z-]+')) word from u),
-m as (select distinct doc_id, id, s, term, strpos(s, term) a from w join t on word = string_split(term, ' ')[-1])
-select doc_id, id, term, a - 1 first_at, case when strpos(substr(s, a + 1), term) > 0 then a + strpos(substr(s, a + 1), term) - 1 end second_at from m where a > 0
+with t as (select distinct lower(trim(source)) term, regexp_extract_all(lower(trim(source)), '{TERM_WORD}')[-1] word from glossary), u as (select doc_id, id, lower(source_text) s from {UNITS_SQL}),
+m as (select u.*, term, strpos(s, term) a from u join t on strpos(s, term) > 0 and word is not null and list_contains(regexp_extract_all(s, '{TERM_WORD}'), word))
+select doc_id, id, term, a - 1 first_at, case when strpos(substr(s, a + 1), term) > 0 then a + strpos(substr(s, a + 1), term) - 1 end second_at from m
 """
 
 
@@ -248,13 +249,16 @@ select doc_id, unit_id, cast(position as bigint) as position, problem from p whe
 
 
 def term_problems(spark: SparkSession, folder: str) -> DataFrame:
-    return review.term_problems(translation_rows(spark, folder, "chinese_text", "terminology"), unit_rows(spark, folder, "source_text"))
+    """Terms whose quotes don't stand where they should: those of the renderings, written as in a heading, held against the
+    delivered targets."""
+    given = table(spark, folder, "annotation_index").select("doc_id", "unit_id", F.col("target_text").alias("chinese_text")).distinct()
+    return review.term_problems(translation_rows(spark, folder, "terminology").withColumn("terminology", F.transform("terminology", lambda t: t.withField("source", F.concat(F.upper(t["source"].substr(1, 1)), t["source"].substr(2, 1_000_000))))).join(given, ["doc_id", "unit_id"]), unit_rows(spark, folder, "source_text"))
 
 
 TERM_PROBLEMS_SQL = """
-with t as (select * from translation qualify row_number() over (partition by doc_id, unit_id) = 1), u as (select distinct doc_id, id unit_id, source_text from semantic_unit),
-e as (select doc_id, unit_id, chinese_text, source_text, generate_subscripts(terminology, 1) - 1 as position, unnest(terminology) x from t join u using (doc_id, unit_id) where len(terminology) > 0)
-select doc_id, unit_id, cast(position as bigint) as position from e where not coalesce(substr(source_text, x.source_start + 1, x.source_end - x.source_start) = x.source and substr(chinese_text, x.target_start + 1, x.target_end - x.target_start) = x.target, false)
+with t as (select doc_id, unit_id, terminology from translation qualify row_number() over (partition by doc_id, unit_id) = 1), u as (select distinct doc_id, id unit_id, source_text from semantic_unit), a as (select distinct doc_id, unit_id, target_text chinese_text from annotation_index),
+e as (select doc_id, unit_id, chinese_text, source_text, generate_subscripts(terminology, 1) - 1 as position, unnest(terminology) x from t join u using (doc_id, unit_id) join a using (doc_id, unit_id) where len(terminology) > 0)
+select doc_id, unit_id, cast(position as bigint) as position from e where not coalesce(substr(source_text, x.source_start + 1, x.source_end - x.source_start) = upper(x.source[1]) || x.source[2:] and substr(chinese_text, x.target_start + 1, x.target_end - x.target_start) = x.target, false)
 """
 
 
@@ -271,13 +275,15 @@ select doc_id, lower(x.source) term, x.source as source, x.target as target, uni
 
 
 def fragment_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    return units.fragment_gaps(unit_rows(spark, folder, "fragments"))
+    """Fragments that don't follow on, their page taken as one block."""
+    by_page = F.transform("fragments", lambda f: f.withField("block_id", f["page_number"].cast("string")))
+    return units.fragment_gaps(unit_rows(spark, folder, "fragments").withColumn("fragments", by_page))
 
 
 FRAGMENTS_SQL = """
 with u as (select distinct doc_id, id, fragments from semantic_unit), e as (select doc_id, id, generate_subscripts(fragments, 1) - 1 as position, unnest(fragments) f from u),
-l as (select doc_id, id, position, f.source_char_start a, f.source_char_end b, lag(f.source_char_end) over (partition by doc_id, f.block_id order by f.source_char_start, f.source_char_end, id, position) p from e)
-select doc_id, id, cast(position as bigint) as position, case when a >= b then 'empty' else 'overlap' end problem from l where a >= b or a < p
+l as (select doc_id, id, position, f.source_char_start a, f.source_char_end b, lag(f.source_char_end) over (partition by doc_id, f.page_number order by f.source_char_start, f.source_char_end, id, position) p from e)
+select doc_id, id, cast(position as bigint) as position, case when a >= b then 'empty' when a < p then 'overlap' else 'gap' end problem from l where a >= b or a <> coalesce(p, 0)
 """
 
 
@@ -291,7 +297,7 @@ REVIEW_SQL = f"select doc_id, max(coalesce(confidence_ppm < 800000, true)) needs
 def merged_units(spark: SparkSession, folder: str) -> DataFrame:
     """Body units that go on in the next unit, joined, as across a break of page."""
     own = unit_rows(spark, folder, "reading_order", "role", "source_text", "confidence_ppm").withColumnRenamed("source_text", "text")
-    made = units.merged_units(own.where("text is not null"), ["doc_id"], ["reading_order"], F.lit(True), F.lit(False))
+    made = units.merged_units(own.where("text is not null"), ["doc_id"], ["reading_order", "id"], F.lit(True), F.lit(False))
     return made.select("doc_id", "unit", F.sha2("text", 256).alias("hash"), F.size("blocks").cast("long").alias("blocks"), "confidence_ppm", "needs_review")
 
 
@@ -351,7 +357,7 @@ def first_labels(spark: SparkSession, folder: str) -> DataFrame:
     return selection.first_of(found, ["doc_id", "term"], ["reading_order", "first_at", "id"]).select("doc_id", "id", "term", "is_first")
 
 
-LABELS_SQL = f"with s as ({TERMS_SQL.replace('with t as', 'with t as', 1)}) select s.doc_id, s.id, term, row_number() over (partition by s.doc_id, term order by reading_order, first_at, s.id) = 1 is_first from s join {UNITS_SQL} u on u.doc_id = s.doc_id and u.id = s.id"
+LABELS_SQL = f"with s as ({TERMS_SQL}) select s.doc_id, s.id, term, row_number() over (partition by s.doc_id, term order by reading_order, first_at, s.id) = 1 is_first from s join {UNITS_SQL} u on u.doc_id = s.doc_id and u.id = s.id"
 
 
 def rounded_widths(spark: SparkSession, folder: str) -> DataFrame:
@@ -372,9 +378,9 @@ def line_breaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def paginated(spark: SparkSession, folder: str) -> DataFrame:
-    lines = line_breaks(spark, folder)
-    own = unit_rows(spark, folder, "reading_order", "role").join(lines.withColumnRenamed("unit_id", "id"), ["doc_id", "id"])
-    return layout.paginated(own.select("doc_id", "reading_order", "id", "role", F.col("n").alias("lines"), F.lit(15_400).alias("line_height")), "doc_id", "reading_order", 600_000, 6_000)
+    """Units set one after the other on pages, 27 characters a line."""
+    own = unit_rows(spark, folder, "reading_order", "role", "source_text").withColumn("lines", F.ceil(F.length("source_text") / 27).cast("long"))
+    return layout.paginated(own.select("doc_id", "reading_order", "id", "role", "lines", F.lit(15_400).alias("line_height")), "doc_id", "reading_order", 600_000, 6_000)
 
 
 def font_runs(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -14,6 +15,8 @@ from quirespark.functions.text import nfc
 CHARACTER = "doc_id string, page_number int, id string, text string, x0 long, y0 long, x1 long, y1 long, font_name string, font_size_mpt long"
 #: Parsers by name: each gives the character rows of pages first..last of one file. No PDF library is required here.
 PARSERS: dict[str, Callable[[str, int, int], Iterator[tuple]]] = {}
+#: What counts the pages of a file for a parser of the same name.
+PAGE_COUNTS: dict[str, Callable[[str], int]] = {}
 
 
 def records_parser(path: str, first: int, last: int) -> Iterator[tuple]:
@@ -27,7 +30,12 @@ def records_parser(path: str, first: int, last: int) -> Iterator[tuple]:
                     yield tuple(row.get(n) for n in names)
 
 
-PARSERS["records"] = records_parser
+def records_pages(path: str) -> int:
+    with open(path, encoding="utf-8") as file:
+        return max((json.loads(line)["page_number"] for line in file if line.strip()), default=0)
+
+
+PARSERS["records"], PAGE_COUNTS["records"] = records_parser, records_pages
 
 
 class Pages(InputPartition):
@@ -38,11 +46,19 @@ class Pages(InputPartition):
 class PageObjectReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.paths = json.loads(options["paths"])
-        self.parser = PARSERS[options.get("parser", "records")]
-        self.pages, self.step = int(options.get("pages", "500")), int(options.get("pagesPerTask", "50"))
+        name = options.get("parser", "records")
+        self.parser, self.count = PARSERS[name], PAGE_COUNTS[name]
+        self.most, self.step = int(options.get("pages", "0")), int(options.get("pagesPerTask", "50"))
 
     def partitions(self) -> list[Pages]:
-        return [Pages(p, a, min(a + self.step - 1, self.pages)) for p in self.paths for a in range(1, self.pages + 1, self.step)]
+        """Ranges of the pages that each file has; a file with more than the option ``pages`` allows is an error."""
+        found = []
+        for path in self.paths:
+            n = self.count(path)
+            if self.most and n > self.most:
+                raise ValueError(f"{path} has {n} pages, more than {self.most}")
+            found += [Pages(path, a, min(a + self.step - 1, n)) for a in range(1, n + 1, self.step)]
+        return found
 
     def read(self, partition: Pages) -> Iterator[tuple]:
         yield from self.parser(partition.path, partition.first, partition.last)
@@ -73,22 +89,34 @@ def strict_json(frame: DataFrame, text: str, schema: str) -> DataFrame:
     Infinity, or name a key twice. Null is bad."""
     plain = F.from_json(text, schema, {"mode": "PERMISSIVE", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "corrupt_"})
 
-    @F.udf("boolean")
-    def repeats(t: str | None) -> bool:
-        def once(pairs: list) -> dict:
-            if len({k for k, _ in pairs}) < len(pairs):
-                raise ValueError
-            return dict(pairs)
+    return frame.withColumn("value", plain).withColumn("bad", F.col(text).isNull() | _no_object(F.col(text)))
+
+
+def _once(pairs: list) -> dict:
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise ValueError
+    return dict(pairs)
 
-        def refuse(name: str) -> None:
-            raise ValueError(name)
 
+def _refuse(name: str) -> None:
+    raise ValueError(name)
+
+
+def _no_object(column: Column) -> Column:
+    """Texts that are no JSON object, hold NaN or Infinity, or name a key twice; each different text of a batch once."""
+
+    def bad(t: str | None) -> bool:
         try:
-            return not isinstance(json.loads(t or "", object_pairs_hook=once, parse_constant=refuse), dict)
+            return not isinstance(json.loads(t or "", object_pairs_hook=_once, parse_constant=_refuse), dict)
         except ValueError:
             return True
 
-    return frame.withColumn("value", plain).withColumn("bad", F.col(text).isNull() | repeats(text))
+    @F.pandas_udf("boolean")
+    def judge(texts: pd.Series) -> pd.Series:
+        known = {t: bad(t) for t in texts.unique()}
+        return texts.map(lambda t: known.get(t, True))
+
+    return judge(column)
 
 
 def canonical(*fields: str) -> Column:
