@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirespark.functions.markers import EXTRACTORS, agree
 from quirespark.functions.text import compact, marker_text
 
+ISSUE = pa.schema([("doc_id", pa.string()), ("unit_id", pa.string()), ("category", pa.string()), ("source_markers", pa.list_(pa.string())), ("target_markers", pa.list_(pa.string()))])
+
 
 def mechanical_check(pairs: DataFrame, categories: tuple[str, ...] = tuple(EXTRACTORS)) -> DataFrame:
     """doc_id, unit_id, category, source_markers, target_markers of each category that a rendering does not keep.
 
-    ``pairs``: doc_id, unit_id, source_text, target_text. A null text counts as empty, so its markers are missing.
+    ``pairs``: doc_id, unit_id, source_text, target_text. A null text counts as empty, so its markers are missing. Each pair
+    is searched in one Arrow batch; there is no shuffle.
     """
     clean = pairs.select("doc_id", "unit_id", *[marker_text(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("source_text", "target_text")])
-    # markers are columns of their own step, so that each text is searched once and not in every comparison
-    made = {f"{side}{k}": EXTRACTORS[name](F.col(f"{text}_text")) for k, name in enumerate(categories) for side, text in (("s", "source"), ("t", "target"))}
-    wide = clean.withColumns(made)
-    found = []
-    for k, name in enumerate(categories):
-        a, b = F.col(f"s{k}"), F.col(f"t{k}")
-        found.append(F.when(~agree(name, a, b, F.col("source_text"), F.col("target_text")), F.struct(F.lit(name).alias("category"), a.alias("source_markers"), b.alias("target_markers"))))
-    issues = wide.select("doc_id", "unit_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i"))
-    return issues.select("doc_id", "unit_id", "i.category", "i.source_markers", "i.target_markers")
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list] = [[] for _ in ISSUE]
+            for doc, unit, source, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for name in categories:
+                    a, b = EXTRACTORS[name](source), EXTRACTORS[name](target)
+                    if not agree(name, a, b, source, target):
+                        for column, value in zip(found, (doc, unit, name, sorted(a), sorted(b)), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, ISSUE, strict=True)], schema=ISSUE)
+
+    return clean.mapInArrow(check, "doc_id string, unit_id string, category string, source_markers array<string>, target_markers array<string>")
 
 
 def issue_hashes(issues: DataFrame) -> DataFrame:

@@ -109,12 +109,20 @@ select topic, letter, case when len(t) <= 8 then array_to_string(t, '|') end tag
 
 
 def number_markers(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbers of each unit, thousands separators dropped, each once."""
-    found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("source_text", F.lit(r"\d+(?:,\d{3})*(?:\.\d+)?"), F.lit(0)), text.number_form)))
-    return unit_rows(spark, folder, "source_text").select("doc_id", "id", F.array_join(found, "|").alias("numbers"))
-
-
-NUMBERS_SQL = rf"select doc_id, id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(source_text, '\d+(?:,\d{{3}})*(?:\.\d+)?'), lambda x: replace(x, ',', '')))), '|') numbers from {UNITS_SQL}"
+    """Numbers of each unit in one form, each once, without those of citations and identifiers."""
+    return unit_rows(spark, folder, "source_text").select("doc_id", "id", F.array_join(markers.marker_column("number")(F.col("source_text")), "|").alias("numbers"))
+
+
+#: The SQL engine lacks look-arounds: the character before a match is matched with it instead.
+NUMBERS_SQL = rf"""
+with u as (select doc_id, id, source_text t from {UNITS_SQL}),
+d as (select *, list_transform(regexp_extract_all(' ' || t || ' ', '[^A-Za-z0-9]((?:1\d|20)\d0)s[^A-Za-z0-9]', 1), lambda x: x || 's') dec, regexp_replace(' ' || t || ' ', '([^A-Za-z0-9])(?:1\d|20)\d0s([^A-Za-z0-9])', '\1   \2', 'g') t1 from u),
+c as (select *, regexp_replace(t1, '\[[0-9,;\s–—-]+\]|\([A-Z][^()]{{0,80}}?(?:19|20)\d{{2}}[a-z]?[^()]*\)', ' ', 'g') t2 from d),
+i as (select *, regexp_replace(t2, '(?i)([^A-Za-z0-9])[A-Za-z][A-Za-z0-9]*-\s*\d+(?:[\s,，、和及]*(?:(?:and|or)\b[\s,，、]*)?-\s*\d+)+', '\1 ', 'g') t3 from c),
+k as (select *, regexp_replace(t3, '([^A-Za-z0-9])(?:[A-Za-z][A-Za-z0-9]*(?:[-/]\s*[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*)*[-/]\s*[A-Za-z]*\d[A-Za-z0-9]*(?:[-/]\s*[A-Za-z0-9]+)*|[A-Za-z]+\d[A-Za-z0-9]*(?:[-/]\s*[A-Za-z0-9]+)+)', '\1 ', 'g') t4 from i),
+n as (select *, regexp_extract_all(t4, '[^A-Za-z0-9_.]((?:[+−]|-)?(?:\d+(?:,\d{{3}})*(?:\.\d+)?|\.\d+)(?:[eE][-+]?\d+)?)', 1) m from k)
+select doc_id, id, array_to_string(list_sort(list_distinct(list_concat(dec, list_transform(m, lambda x: regexp_replace(replace(replace(x, ',', ''), '−', '-'), '^([+-]?)\.', '\10.'))))), '|') numbers from n
+"""
 
 
 def reference_markers(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,7 +139,7 @@ def _refs(column: str) -> str:
 
 REFERENCES_SQL = f"with r as (select doc_id, unit_id, {_refs('source_text')} a, {_refs('target_text')} b from {PAIRS_SQL}) select doc_id, unit_id, array_to_string(a, '|') source_refs, array_to_string(b, '|') target_refs, a = b same from r"
 
-LEXICON = {"reason": r"\bbecause\b|\bdue to\b|因为|由于", "increase": r"\bincreas(?:e|ed|es|ing)\b|增加|增多|升高|上升|提高|增长|延长|更多", "condition": r"\bif\b|\bprovided that\b|如果|若", "approximate": r"\bapproximately\b|\babout\b|约", "possibility": r"\bmay\b|\bmight\b|\bcould\b|或许|也许|预计"}
+LEXICON = {**markers.DIRECTION, **markers.NEGATION, **markers.DEGREE, **markers.LOGIC}
 
 
 def lexicon_losses(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,7 +150,25 @@ def lexicon_losses(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("doc_id", "unit_id", F.explode(lost).alias("lost"))
 
 
-LEXICON_SQL = "with p as (select * from " + PAIRS_SQL + " where target_text is not null) " + " union all ".join(f"select doc_id, unit_id, '{n}' lost from p where regexp_matches(source_text, '(?i)(?:{r})') and not regexp_matches(target_text, '(?i)(?:{r})')" for n, r in LEXICON.items())
+#: Patterns with look-arounds as the SQL engine can say them, on a text in which what they exclude is taken out before.
+_PLAIN = {
+    r"\bnot\b(?!\s+only\b)": r"\bnot\b", r"可能(?!性)": "可能", r"而(?=[A-Za-zͰ-Ͽ])|而(?!且|后|今)(?=[㐀-鿿])": "而[A-Za-zͰ-Ͽ㐀-鿿]",
+    r"与(?:[^。！？.!?]|(?<=\d)\.(?=\d)){0,120}相比": "与[^。！？.!?]{0,120}相比",
+    r"(?<!比)较(?=[^。！？.!?]{0,20}(?:增加|减少|升高|降低|高|低|多|少|大|小))": "较[^。！？.!?]{0,20}(?:增加|减少|升高|降低|高|低|多|少|大|小)",
+}
+
+
+def _lexicon_sql() -> str:
+    clean = r"regexp_replace(regexp_replace({}, '(?i)\bnot\s+only\b|可能性|而且|而后|而今|比较', '#', 'g'), '(\d)\.(\d)', '\1,\2', 'g')"
+    parts = []
+    for name, pattern in LEXICON.items():
+        for given, form in _PLAIN.items():
+            pattern = pattern.replace(given, form)
+        parts.append(f"select doc_id, unit_id, '{name}' lost from p where regexp_matches(s, '(?i)(?:{pattern})') and not regexp_matches(t, '(?i)(?:{pattern})')")
+    return f"with p as (select doc_id, unit_id, {clean.format('source_text')} s, {clean.format('target_text')} t from {PAIRS_SQL} where target_text is not null) " + " union all ".join(parts)
+
+
+LEXICON_SQL = _lexicon_sql()
 
 
 def mechanical_check(spark: SparkSession, folder: str) -> DataFrame:

@@ -83,6 +83,12 @@ CASES = [
     ("number", "二十世纪八十年代", ["1980s"]),
     ("range", "from 10–20 and two to five", ["10:20", "2:5"]),
     ("range", "从10到20", ["10:20"]),
+    ("range", "从10 mm增加到20 mm，由3提高至7", ["10:20", "3:7"]),
+    ("range", "速率可从0.3 mm·a−1加速至12.4 mm·a−1。", ["0.3:12.4"]),
+    ("range", "sites A-1, -2 and -3", []),
+    ("number", "sites A-1, -2 and -3 of 7", ["7"]),
+    ("number", "in the 1980s (Smith 2020) and HE 12 / 3", ["1980s"]),
+    ("inequality", "not exceed- ing 5", ["<=:5"]),
     ("inequality", "at least 5 and p < .05", ["<:0.05", ">=:5"]),
     ("inequality", "不少于5，不超过7", ["<=:7", ">=:5"]),
     ("unit", "5 mg at 20 ℃ and 3 um", ["mg", "°C", "μm"]),
@@ -99,7 +105,10 @@ CASES = [
 
 @pytest.mark.parametrize(("category", "given", "expected"), CASES)
 def test_markers(spark, category, given, expected):
-    assert value(spark, markers.EXTRACTORS[category](F.col("t")), t=given) == expected
+    assert value(spark, markers.marker_column(category)(F.col("t")), t=given) == expected
+    native = {"citation": markers.citations, "figure-table": markers.figure_tables, **{n: markers.classes(getattr(markers, n.upper())) for n in ("direction", "negation", "degree", "logic")}}
+    if category in native:
+        assert value(spark, native[category](F.col("t")), t=given) == expected
 
 
 def test_mechanical_check_and_waivers(spark):
