@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quirespark.functions.geometry import area, box, contains, distance, lightness, meets, shared_length
 from quirespark.functions.text import collapse, line_signature
+from quirespark.operators import affixes
 from quirespark.operators.grouped import by_group
 
 PAGE = ["doc_id", "page_number"]
@@ -34,15 +35,8 @@ def line_clusters(chars: DataFrame) -> DataFrame:
     """
 
     def sweep(key: tuple, page: list[dict]) -> list[tuple]:
-        middles, sizes, found = [], [], []
-        for c in sorted(page, key=lambda c: (-c["y1"], c["x0"], c["id"])):
-            middle, size = (c["y0"] + c["y1"]) // 2, c["font_size_mpt"]
-            k = next((i for i, m in enumerate(middles) if abs(middle - m) <= max(2000, min(size, sizes[i]) // 4)), len(middles))
-            if k == len(middles):
-                middles.append(middle)
-                sizes.append(size)
-            found.append((*key, c["id"], k))
-        return found
+        ordered = affixes.by_height(page)
+        return [(*key, c["id"], n) for c, n in zip(ordered, affixes.clusters(ordered), strict=True)]
 
     sound = chars.select(*PAGE, "id", "x0", "y0", "y1", "font_size_mpt").dropna(subset=["x0", "y0", "y1", "font_size_mpt"])
     return by_group(sound, PAGE, ["id", "x0", "y0", "y1", "font_size_mpt"], sweep, "doc_id string, page_number int, id string, cluster long")
@@ -73,12 +67,22 @@ def segment_lines(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def text_lines(chars: DataFrame) -> DataFrame:
-    """Lines of pages from their characters: clusters, segments, text, and ids by place from the top."""
-    clustered = chars.join(line_clusters(chars), [*PAGE, "id"])
-    keys = [*PAGE, "cluster"]
-    lines = segment_lines(segments(clustered, keys), keys)
-    order = Window.partitionBy(*PAGE).orderBy(F.desc("y1"), "x0", "character_ids")
-    return lines.withColumn("id", F.format_string("p%04d-line-%05d", "page_number", F.row_number().over(order))).drop("cluster", "segment")
+    """Lines of pages from their characters, from the top: clusters, segments, formulae parted from prose, marks at their host.
+
+    Characters with a null box, size or text are left out; a null font is a font of its own.
+    """
+    fields = ["id", "text", "x0", "y0", "x1", "y1", "font_size_mpt", "font_name"]
+
+    def build(key: tuple, page: list[dict]) -> list[tuple]:
+        out = []
+        for k, line in enumerate(affixes.page_lines(page), 1):
+            box_ = [f(c[n] for c in line) for n, f in (("x0", min), ("y0", min), ("x1", max), ("y1", max))]
+            fonts = sorted({c["font_name"] for c in line if c["font_name"] is not None})
+            out.append((*key, f"p{key[1]:04d}-line-{k:05d}", affixes.joined(line), *box_, max(c["font_size_mpt"] for c in line), fonts, [c["id"] for c in line]))
+        return out
+
+    schema = "doc_id string, page_number int, id string, text string, x0 long, y0 long, x1 long, y1 long, max_font_size_mpt long, font_names array<string>, character_ids array<string>"
+    return by_group(chars.select(*PAGE, *fields).dropna(subset=fields[:-1]), PAGE, fields, build, schema)
 
 
 def repeated_marginals(lines: DataFrame, pages: DataFrame | None = None, page_height: int = 841_890) -> DataFrame:
@@ -208,18 +212,3 @@ def meeting(boxes: DataFrame, keys: list[str], tolerance: int = 0, strip: int =
 def referenced(column: Column) -> Column:
     """Whether a text mentions a figure or table."""
     return column.rlike(MENTION)
-
-
-def attached_affixes(chars: DataFrame, lines: DataFrame, reach: int = 3_000) -> DataFrame:
-    """doc_id, page_number, id, line_id, kind of the small characters that belong to a line as raised or lowered marks.
-
-    A mark is at most 3/4 as large as the line's characters, begins within ``reach`` of the line's box in x, and has its
-    middle above or below the line's middle by an eighth of its height at least while still meeting the box. The line that
-    is nearest in x, then in y, then of least id takes it.
-    """
-    own = lines.select(*PAGE, F.col("id").alias("line_id"), F.col("max_font_size_mpt").alias("size"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")])
-    met = chars.join(own, PAGE).where((F.col("font_size_mpt") * 4 <= F.col("size") * 3) & meets(box("l_"), box(), reach) & (F.col("y0") <= F.col("l_y1")) & (F.col("y1") >= F.col("l_y0")))
-    off = (F.col("y0") + F.col("y1")) - (F.col("l_y0") + F.col("l_y1"))
-    away = distance(F.col("x0"), F.col("x1"), F.col("l_x0"), F.col("l_x1"))
-    marked = met.where(F.abs(off) * 4 >= F.col("l_y1") - F.col("l_y0")).groupBy(*PAGE, "id").agg(F.min(F.struct(away.alias("a"), F.abs(off).alias("o"), "line_id", off.alias("off"))).alias("m"))
-    return marked.select(*PAGE, "id", F.col("m.line_id").alias("line_id"), F.when(F.col("m.off") > 0, "raised").otherwise("lowered").alias("kind"))

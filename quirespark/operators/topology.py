@@ -104,35 +104,6 @@ def horizontal_groups(boxes: DataFrame, minimum: int) -> DataFrame:
     return placed.withColumn("group", F.size(F.filter("lows", lambda g: g >= middle)).cast("long")).drop("lows")
 
 
-def page_bands(boxes: DataFrame, tolerance: int = 4000, separation: int = 100_000, minimum_gap: int = 14_000) -> DataFrame:
-    """doc_id, page_number, band, columns, y0, y1, x0, x1, score of the bands of each page, from the top.
-
-    A band is a run of groups (parted by white space) with one number of columns, where a group has as many columns as it
-    has anchors whose boxes do not reach into the next. The score is the share of boxes that keep to their column.
-    """
-    groups = horizontal_groups(boxes, minimum_gap)
-    keys = [*PAGE, "group"]
-    anchored = groups.join(column_anchors(groups, keys, tolerance, separation), keys)
-    lane = nearest_anchor(F.col("x0"), F.col("anchors"))
-    placed = anchored.withColumn("lane", lane).withColumn("next_", F.get(F.col("anchors"), F.col("lane") + 1))
-    keeps = F.when(F.col("next_").isNull() | (F.col("x1") <= F.col("next_")), 1).otherwise(0)
-    per = placed.groupBy(*keys).agg(F.max(F.size("anchors")).alias("n"), F.sum(keeps).alias("kept"), F.count("*").alias("all_"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-    columns = F.when(F.col("kept") * 10 >= F.col("all_") * 9, F.col("n")).otherwise(1)
-    window = Window.partitionBy(*PAGE).orderBy("group")
-    marked = per.withColumn("columns", columns.cast("long")).withColumn("new_", F.when(F.col("columns") == F.lag("columns").over(window), 0).otherwise(1))
-    banded = marked.withColumn("band", F.sum("new_").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long"))
-    return banded.groupBy(*PAGE, "band").agg(F.max("columns").alias("columns"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.call_function("div", F.sum("kept") * 1_000_000, F.sum("all_")).alias("score"))
-
-
-def column_template(bands: DataFrame, confident: int = 800_000) -> DataFrame:
-    """doc_id, columns: the number of columns that most confident pages of a document have; none on a tie or below 2."""
-    pages = bands.where(F.col("score") >= confident).groupBy(*PAGE).agg(F.max("columns").alias("columns"))
-    votes = pages.groupBy("doc_id", "columns").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "columns")
-    ranked = votes.withColumn("r", F.row_number().over(order)).withColumn("next_", F.lead("n").over(order))
-    return ranked.where((F.col("r") == 1) & (F.col("n") >= 2) & (F.col("next_").isNull() | (F.col("next_") < F.col("n")))).select("doc_id", "columns")
-
-
 def title_lines(lines: DataFrame) -> DataFrame:
     """doc_id, id of the title: first-page lines of nine tenths of the largest size, near the topmost of that size."""
     first = lines.where("page_number = 1 and body_eligible")
@@ -142,71 +113,6 @@ def title_lines(lines: DataFrame) -> DataFrame:
     return big.join(edge, "doc_id").where(F.col("edge") - F.col("y1") <= 4 * F.col("largest")).select("doc_id", "id")
 
 
-# Lines that open a part of a paper.
-ABSTRACT = r"(?i)^\s*abstract\s*[:.]?\s*$"
-ABSTRACT_INLINE = r"(?i)^\s*abstract\s*[:.—–-]\s*\S"
-KEYWORDS = r"(?i)^\s*(?:key\s?words|index terms)\b"
-REFERENCES = r"(?i)^\s*(?:references|bibliography|literature cited)\s*$"
-NUMBERED = r"^\s*(?:\d{1,2}(?:\.\d{1,2})*\.?|[IVX]{1,4}\.)\s+\p{Lu}"
-
-
-def line_roles(lines: DataFrame, keys: list[str], order: list[str], emphasised: Column | None = None) -> DataFrame:
-    """keys, id, role of lines in order: heading, abstract, keywords, reference, body.
-
-    An ordered fold carries the part that is open: the abstract lasts until keywords or a heading, references until the end.
-    """
-    text = F.col("text")
-    strong = F.coalesce(emphasised, F.lit(False)) if emphasised is not None else F.lit(False)
-    sort = F.when(text.rlike(REFERENCES), "R").when(text.rlike(ABSTRACT), "A").when(text.rlike(ABSTRACT_INLINE), "I").when(text.rlike(KEYWORDS), "K").when(text.rlike(NUMBERED) | strong, "H").otherwise("-")
-    rows = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "id", F.coalesce(sort, F.lit("-")).alias("sort")))).alias("items"))
-    start = F.struct(F.lit("front").alias("part"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, line: Column) -> Column:
-        kind, part = line["sort"], state["part"]
-        after = F.when((part == "reference") | (kind == "R"), "reference").when(kind.isin("A", "I"), "abstract").when(kind.isin("K", "H"), "body").otherwise(part)
-        role = F.when(kind.isin("R", "A"), "heading").when(part == "reference", "reference").when(kind == "I", "abstract").when(kind == "K", "keywords").when(kind == "H", "heading").when(part == "abstract", "abstract").otherwise("body")
-        return F.struct(after.alias("part"), F.concat(state["out"], F.array(role)).alias("out"))
-
-    folded = rows.select(*keys, "items", F.aggregate("items", start, step, lambda s: s["out"]).alias("roles"))
-    each = folded.select(*keys, F.explode(F.arrays_zip(F.transform("items", lambda x: x["id"]).alias("id"), F.col("roles").alias("role"))).alias("e"))
-    return each.select(*keys, F.col("e.id").alias("id"), F.col("e.role").alias("role"))
-
-
-def merged_blocks(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """keys, block, ids, text, box: adjacent lines of one role whose gap to the block so far is small.
-
-    A line joins if its role is the block's and the gap lies between -1000 and 1.5 times the largest size (5000 at least);
-    the block's lower edge and largest size move with it, so this is an ordered fold.
-    """
-    item = F.struct(*order, "id", "role", "y0", "y1", F.col("max_font_size_mpt").alias("size"))
-    rows = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(None).cast("string").alias("role"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        gap, size = s["low"] - c["y1"], F.greatest(s["size"], c["size"])
-        joins = (s["role"] == c["role"]) & gap.between(F.lit(-1000), F.greatest(F.lit(5000), F.call_function("div", size * 3, F.lit(2).cast("long"))))
-        joins = F.coalesce(joins, F.lit(False))
-        n = s["n"] + F.when(joins, 0).otherwise(1)
-        return F.struct(
-            c["role"].alias("role"),
-            F.when(joins, F.least(s["low"], c["y0"])).otherwise(c["y0"]).cast("long").alias("low"),
-            F.when(joins, size).otherwise(c["size"]).cast("long").alias("size"),
-            n.cast("long").alias("n"),
-            F.concat(s["out"], F.array(n.cast("long"))).alias("out"),
-        )
-
-    folded = rows.select(*keys, "items", F.aggregate("items", start, step, lambda s: s["out"]).alias("numbers"))
-    each = folded.select(*keys, F.explode(F.arrays_zip(F.transform("items", lambda x: x["id"]).alias("id"), F.col("numbers").alias("block"))).alias("e"))
-    named = each.select(*keys, F.col("e.id").alias("id"), F.col("e.block").alias("block"))
-    parts = F.array_sort(F.collect_list(F.struct(*order, "id", "text")))
-    return (
-        lines.join(named, [*keys, "id"])
-        .groupBy(*keys, "block")
-        .agg(parts.alias("p"), F.max("role").alias("role"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-        .select(*keys, "block", "role", F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"), F.transform("p", lambda x: x["id"]).alias("ids"), "x0", "y0", "x1", "y1")
-    )
-
-
 def confidence_gate(frame: DataFrame, key: str, score: str, least: int = 800_000) -> DataFrame:
     """key, needs_review: whether any score of a document is below ``least`` or missing."""
     return frame.groupBy(key).agg(F.max(F.coalesce(F.col(score) < least, F.lit(True))).alias("needs_review"))

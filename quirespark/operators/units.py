@@ -34,6 +34,16 @@ def section_states(lines: DataFrame, keys: list[str], order: list[str], is_headi
     )
 
 
+# How a sentence ends, how lists and quotations begin, and what goes on.
+SENTENCE_END = r"""[.!?]["'’”)\]]*$"""
+LIST_START = r"^(?:[-•*▪◦–]\s|\(?[0-9a-zA-Z]{1,3}[.)]\s)"
+QUOTE_START = r"""^["'‘“]"""
+COORDINATION = r"(?i)\b(?:and|or|nor)\s*$"
+PARENTHESIS = r"^\([a-z][^()\n]{0,80}\)\s*[,;]"
+FORMULA_START = r"^(?:[A-Z][a-z]?\d*){2,}\b"
+EDGE, INDENT = 20_000, 10_000
+
+
 def boundary(left_role: Column, right_role: Column, left: Column, right: Column, breaks: Column, indented: Column) -> Column:
     """'separate', 'merge' or 'review' for two blocks one after the other.
 
@@ -42,8 +52,8 @@ def boundary(left_role: Column, right_role: Column, left: Column, right: Column,
     """
     a, b = F.rtrim(left), F.ltrim(right)
     small = b.rlike(r"^\p{Ll}")
-    ended = a.rlike(r"[.!?。！？][\"'”’)\]]*$") | indented | b.rlike(r"^(?:[-•*▪◦–]\s|\(?[0-9a-zA-Z]{1,3}[.)]\s)") | b.rlike(r"^[\"'“‘«「『]")
-    goes_on = small | a.rlike(r"(?i)(?:,|;|\b(?:and|or|of|the|with|to|in|for|by|a|an))$") | b.rlike(r"^[(\[]")
+    ended = a.rlike(SENTENCE_END) | indented | b.rlike(LIST_START) | b.rlike(QUOTE_START)
+    goes_on = small | a.rlike(COORDINATION) | b.rlike(PARENTHESIS) | b.rlike(FORMULA_START)
     return (
         F.when((left_role != "body") | (right_role != "body") | ~breaks, "separate")
         .when((a == "") | (b == ""), "review")
@@ -54,6 +64,36 @@ def boundary(left_role: Column, right_role: Column, left: Column, right: Column,
     )
 
 
+def located(blocks: DataFrame, bands: DataFrame) -> DataFrame:
+    """``blocks`` (doc_id, page_number, band, column) with band_y0, band_y1, columns and column_x0 of their place; blocks
+    without one are dropped."""
+    place = bands.select("doc_id", "page_number", "band", "column", "columns", F.col("y0").alias("band_y0"), F.col("y1").alias("band_y1"), F.col("x0").alias("column_x0"))
+    return blocks.join(place, ["doc_id", "page_number", "band", "column"])
+
+
+def located_units(blocks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``merged_units`` of located blocks, their breaks told from where they stand.
+
+    A break lies between the foot of one column and the head of the next, between pages, where a caption floats between, or
+    where a word is divided within a column or into the next. ``blocks``: what ``located`` gives, with id, role, text, y0, y1,
+    first_x0 and confidence_ppm.
+    """
+    everything, flow = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys).orderBy(*order)
+    before = lambda c: F.lag(c).over(flow)
+    head = F.col("band_y1") - F.col("y1") <= EDGE
+    foot = before("y0") - before("band_y0") <= EDGE
+    same_page, next_page = F.col("page_number") == before("page_number"), F.col("page_number") == before("page_number") + 1
+    same_band, next_column = same_page & (F.col("band") == before("band")), F.col("column") == before("column") + 1
+    turned = (same_band & next_column) | (next_page & (before("column") == before("columns")) & (F.col("column") == 1))
+    floats = F.col("place_") - before("place_") > 1
+    around = floats & ((same_page & (next_column | ((F.col("band") != before("band")) & (F.col("column") == 1)))) | next_page)
+    divided = F.rtrim(before("text")).endswith("-") & F.ltrim("text").rlike(r"^\p{Ll}")
+    below = same_band & (F.col("column") == before("column")) & (before("y0") - F.col("y1")).between(0, 50_000)
+    breaks = (foot & head & turned) | around | (divided & (below | (same_band & next_column & head)))
+    placed = blocks.withColumn("place_", F.row_number().over(everything))
+    return merged_units(placed, keys, order, breaks, F.col("first_x0") - F.col("column_x0") > INDENT)
+
+
 def merged_units(blocks: DataFrame, keys: list[str], order: list[str], breaks: Column, indented: Column) -> DataFrame:
     """keys, unit, text, blocks, confidence, needs_review: blocks joined where the boundary says merge.
 

@@ -77,9 +77,9 @@ SQL["merged_units"] = rf"""
 with b as (select doc_id, id, reading_order, role, source_text t, confidence_ppm from {UNITS_SQL} where source_text is not null),
 l as (select *, lag(role) over w lr, rtrim(lag(t) over w, ' ') a, ltrim(t, ' ') c from b where role not like '%caption' window w as (partition by doc_id order by reading_order, id)),
 v as (select *, case when lr is null or lr <> 'body' or role <> 'body' then 'separate' when a = '' or c = '' then 'review'
-  when regexp_matches(a, '[.!?。！？]["''”’)\]]*$') or regexp_matches(c, '^(?:[-•*▪◦–]\s|\(?[0-9a-zA-Z]{{1,3}}[.)]\s)') or regexp_matches(c, '^["''“‘«「『]') then 'separate'
+  when regexp_matches(a, '[.!?]["''’”)\]]*$') or regexp_matches(c, '^(?:[-•*▪◦–]\s|\(?[0-9a-zA-Z]{{1,3}}[.)]\s)') or regexp_matches(c, '^["''‘“]') then 'separate'
   when a like '%-' then case when regexp_matches(c, '^\p{{Ll}}') then 'merge' else 'review' end
-  when regexp_matches(c, '^\p{{Ll}}') or regexp_matches(a, '(?i)(?:,|;|\b(?:and|or|of|the|with|to|in|for|by|a|an))$') or regexp_matches(c, '^[(\[]') then 'merge' else 'review' end verdict from l),
+  when regexp_matches(c, '^\p{{Ll}}') or regexp_matches(a, '(?i)\b(?:and|or|nor)\s*$') or regexp_matches(c, '^\([a-z][^()\n]{{0,80}}\)\s*[,;]') or regexp_matches(c, '^(?:[A-Z][a-z]?\d*){{2,}}\b') then 'merge' else 'review' end verdict from l),
 n as (select *, sum(case when verdict = 'merge' then 0 else 1 end) over (partition by doc_id order by reading_order, id rows unbounded preceding) unit from v),
 j as (select *, lag(t) over w p, lead(t) over w nx from n window w as (partition by doc_id, unit order by reading_order, id)),
 m as (select doc_id, unit, string_agg(case when p is null then '' when p like '%-' then '' else ' ' end || case when nx is not null and t like '%-' then t[:-2] else t end, '' order by reading_order, id) made, count(*) k, min(confidence_ppm) confidence_ppm, bool_or(verdict = 'review') needs_review from j group by 1, 2
@@ -87,6 +87,45 @@ m as (select doc_id, unit, string_agg(case when p is null then '' when p like '%
 select doc_id, cast(unit as bigint) unit, sha256(made) hash, k blocks, confidence_ppm, needs_review from m
 """
 
+# one column a page: every line in order with the parts of the paper that are open before it
+_LINES = f"""
+l as (select *, trim(text, ' ') t, list_contains(list_transform(font_names, lambda f: contains(lower(f), 'bold')), true) bold, exclusion_kind is null and container_kind is null free from {LINES_SQL} where x0 < x1 and y0 < y1 and length(trim(text, ' ')) > 0),
+m as (select doc_id, page_number, cast(floor(median(max_font_size_mpt)) as bigint) typical from l where body_eligible and max_font_size_mpt > 0 group by 1, 2),
+g as (select doc_id, max(max_font_size_mpt) largest from l where free and page_number = 1 group by 1), h as (select l.doc_id, max(y1) top from l join g using (doc_id) where free and page_number = 1 and max_font_size_mpt = largest group by 1),
+n as (select l.*, coalesce(typical, 10000) typical, coalesce(page_number = 1 and free and largest > 0 and max_font_size_mpt * 10 >= largest * 9 and abs(top - y1) <= largest * 5 // 2, false) is_title, lead(t) over w coming, row_number() over w k,
+  regexp_matches(t, '(?i)^\\s*(?:\\d+(?:\\.\\d+)*\\.|[IVXLCDM]+[.)])\\s+\\S') num, regexp_matches(t, '(?i)^\\s*abstract\\s*$') ab, regexp_matches(t, '(?i)^\\s*abstract\\s*[:—-]\\s*\\S') ai, regexp_matches(t, '(?i)^\\s*(?:key\\s*words?|keywords?)\\s*[:—-]') kw,
+  regexp_matches(t, '(?i)^\\s*references\\s*$') re, regexp_matches(t, '(?i)^\\s*(?:doi\\s*:|\\d{{4}}-\\d{{3}}[\\dXx]/|©\\s*\\d{{4}}\\b)') me,
+  regexp_matches(t, '^\\s*[∗*†‡]\\s*$') or regexp_matches(t, '(?i)^\\s*(?:✉\\s*)?corresponding\\s+authors?\\b') or regexp_matches(t, '(?i)^\\s*\\d+\\s+all\\s+authors\\s+contributed\\b') fo
+  from l left join m using (doc_id, page_number) left join g using (doc_id) left join h using (doc_id) window w as (partition by doc_id, page_number order by y1 desc, x0, id)),
+p as (select *, max(case when is_title then y1 end) over (partition by doc_id, page_number) title_top, bool_or(is_title) over (partition by doc_id, page_number) has_title,
+  coalesce(regexp_matches(t, '(?i)^\\s*(?:department|faculty|school|institute|centre|center|laboratory|university|hospital)\\b') or (regexp_matches(t, '(?i)^\\s*[a-z](?:\\s*,\\s*[a-z])*\\s*$') and regexp_matches(coming, '(?i)^\\s*(?:department|faculty|school|institute|centre|center|laboratory|university|hospital)\\b')), false) af from n),
+s as (select doc_id, page_number, 0 k, cast(null as varchar) id, cast(null as varchar) role, bool_or(has_title) front, false title, false abstract, false affil, false foot, cast(null as varchar) prole, cast(0 as bigint) px0, cast(0 as bigint) py0, cast(0 as bigint) psize from p group by 1, 2
+  union all select doc_id, page_number, k, id, role, case when role in ('heading', 'keywords') or (role = 'abstract' and ai) then false else front end, title or is_title,
+    case when ab and role = 'heading' then true when ai and role = 'abstract' then true when role in ('heading', 'keywords') then false else abstract end,
+    case when (ab and role = 'heading') or (ai and role = 'abstract') then false when role = 'affiliation' then true else affil end,
+    case when role = 'footnote' and free then true when role = 'bibliographic-metadata' and free and me and not (title_top is not null and y0 >= title_top) and not (front and not title) then false else foot end,
+    case when free then role else prole end, case when free then x0 else px0 end, case when free then y0 else py0 end, case when free then max_font_size_mpt else psize end
+  from (select p.*, s.front, s.title, s.abstract, s.affil, s.foot, s.prole, s.px0, s.py0, s.psize, case
+    when exclusion_kind is not null then case exclusion_kind when 'repeated-header' then 'header' when 'repeated-footer' then 'footer' else case when exclusion_kind in ('page-number', 'watermark', 'header', 'footer', 'footnote', 'endnote', 'acknowledgements', 'equation', 'variable', 'code', 'chemical-formula', 'pure-data', 'reference-entry') then exclusion_kind else 'bibliographic-metadata' end end
+    when container_kind is not null then case container_kind when 'figure' then 'figure-text' else 'table-cell' end
+    when is_title then 'title' when p.page_number = 1 and ((title_top is not null and y0 >= title_top) or (s.front and not s.title)) then 'bibliographic-metadata' when p.page_number = 1 and me then 'bibliographic-metadata'
+    when p.page_number = 1 and (s.foot or (not s.front and fo)) then 'footnote' when ab then 'heading' when ai then 'abstract' when kw then 'keywords'
+    when s.prole = 'heading' and not num and not re and bold and max_font_size_mpt >= typical * 9 // 10 and s.py0 - y1 between 0 and greatest(5000, greatest(s.psize, max_font_size_mpt)) and abs(s.px0 - x0) <= greatest(2000, greatest(s.psize, max_font_size_mpt) // 2) then 'heading'
+    when num or (bold and max_font_size_mpt >= typical * 11 // 10) then 'heading' when s.abstract then 'abstract' when not (s.title and s.front) then 'body' when s.affil or af then 'affiliation' else 'author' end role
+    from s join p on p.doc_id = s.doc_id and p.page_number = s.page_number and p.k = s.k + 1)),
+r as (select p.doc_id, p.page_number, p.id, p.k, s.role, p.t, p.x0, p.y0, p.x1, p.y1, p.max_font_size_mpt size, p.container_id target, p.num, p.container_kind ck, min(p.x0) over (partition by p.doc_id, p.page_number) left0 from s join p using (doc_id, page_number, k))
+"""
+SQL["line_roles"] = f"with recursive {_LINES} select doc_id, page_number, id, role from r"
+SQL["merged_blocks"] = f"""
+with recursive {_LINES},
+q as (select *, case when ck is not null and role in ('figure-text', 'table-cell') then target end tg from r),
+b as (select doc_id, page_number, k, cast(1 as bigint) block, role, y0 low, x0 edge, size from q where k = 1
+  union all select doc_id, page_number, k, block + case when j then 0 else 1 end, role, case when j then least(low, y0) else y0 end, case when j then least(edge, x0) else x0 end, case when j then greatest(bsize, size) else size end
+  from (select q.*, b.block, b.low, b.edge, b.size bsize, b.role = q.role and q.role in ('title', 'author', 'affiliation', 'heading', 'abstract', 'body', 'keywords') and b.low - q.y1 between -1000 and greatest(5000, greatest(b.size, q.size) * 3 // 2)
+    and (q.role <> 'heading' or (not q.num and abs(b.edge - q.x0) <= greatest(2000, greatest(b.size, q.size) // 2))) and (q.role <> 'body' or q.x0 - q.left0 <= 10000) j
+    from b join q on q.doc_id = b.doc_id and q.page_number = b.page_number and q.k = b.k + 1))
+select b.doc_id, b.page_number, block, max(b.role) as role, string_agg(q.t, ' ' order by b.k) as text, count(*) lines, min(q.x0) x0, min(q.y0) y0, max(q.x1) x1, max(q.y1) y1 from b join q using (doc_id, page_number, k) group by 1, 2, 3
+"""
 SQL["line_clusters"] = """
 with recursive g as (select distinct doc_id, page_number, id, (y0 + y1) // 2 m, font_size_mpt s, y1, x0 from page_char where x0 is not null and y0 is not null and y1 is not null and font_size_mpt is not null),
 k as (select *, row_number() over (partition by doc_id, page_number order by y1 desc, x0, id) n from g),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.functions.geometry import box, fit_scale, overlaps, scaled
-from quirespark.operators import extraction, intervals, layout, records, selection, topology, units
+from quirespark.functions.geometry import box, fit_scale, overlaps, scaled, union_box
+from quirespark.operators import bands, extraction, intervals, layout, records, roles, selection, topology, units
 from quirespark.operators.latest import latest
 from quirespark.sources.tables import table
 
@@ -252,8 +252,14 @@ def recursive_cuts(spark: SparkSession, folder: str) -> DataFrame:
     return topology.recursive_cut(lines(spark, folder, *BOX), 6000, 10_000)
 
 
+def occupied_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """The body lines of each page as boxes."""
+    own = lines(spark, folder, "text", *BOX, "max_font_size_mpt", "body_eligible").where("body_eligible")
+    return own.select(*PAGE, "id", F.lit("line").alias("kind"), F.col("max_font_size_mpt").alias("size"), "text", *BOX)
+
+
 def page_bands(spark: SparkSession, folder: str) -> DataFrame:
-    return topology.page_bands(lines(spark, folder, *BOX))
+    return bands.document_bands(occupied_boxes(spark, folder)).withColumn("members", F.array_join("members", " "))
 
 
 def column_anchors(spark: SparkSession, folder: str) -> DataFrame:
@@ -272,16 +278,42 @@ select doc_id, id from b join e using (doc_id) where edge - y1 <= 4 * largest
 """
 
 
+def _one_column(own: DataFrame) -> DataFrame:
+    """Each page as one band of one column."""
+    return own.groupBy(*PAGE).agg(F.lit(1).alias("band"), F.lit(1).alias("column"), F.lit(1).alias("columns"), *union_box())
+
+
+def _role_lines(spark: SparkSession, folder: str) -> DataFrame:
+    own = lines(spark, folder, "text", *BOX, "max_font_size_mpt", "font_names", "body_eligible", "exclusion_kind", "container_kind", "container_id", "confidence_ppm")
+    bold = F.exists("font_names", lambda f: F.lower(f).contains("bold"))
+    return own.select(*PAGE, "id", "text", *BOX, F.col("max_font_size_mpt").alias("size"), bold.alias("bold"), F.col("body_eligible").alias("eligible"), F.col("exclusion_kind").alias("exclusion"), F.col("container_kind").alias("container"), "container_id", F.col("confidence_ppm").alias("confidence"))
+
+
 def line_roles(spark: SparkSession, folder: str) -> DataFrame:
-    own = lines(spark, folder, "text", "y1", "x0", "body_eligible").where("body_eligible").withColumn("down", -F.col("y1"))
-    return topology.line_roles(own, ["doc_id"], ["page_number", "down", "x0"])
+    """The role of each line, pages taken as one column."""
+    own = _role_lines(spark, folder)
+    return roles.page_blocks(own, _one_column(own)).select(*PAGE, F.explode("line_ids").alias("id"), "role")
 
 
 def merged_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    own = lines(spark, folder, "text", *BOX, "max_font_size_mpt", "body_eligible").where("body_eligible").withColumn("down", -F.col("y1"))
-    roles = topology.line_roles(own, ["doc_id"], ["page_number", "down", "x0"])
-    made = topology.merged_blocks(own.join(roles, ["doc_id", "id"]), PAGE, ["down", "x0"])
-    return made.select(*PAGE, "block", "role", "text", F.size("ids").cast("long").alias("lines"), *BOX)
+    """Blocks of lines of one role, pages taken as one column."""
+    own = _role_lines(spark, folder)
+    return roles.page_blocks(own, _one_column(own)).select(*PAGE, "block", "role", "text", F.size("line_ids").cast("long").alias("lines"), *BOX)
+
+
+def source_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks in the columns of their pages, with the roles that closing sections give them."""
+    found = roles.page_blocks(_role_lines(spark, folder), bands.document_bands(occupied_boxes(spark, folder)))
+    return roles.closing_sections(found, [*PAGE[1:], "block"]).withColumn("line_ids", F.array_join("line_ids", " "))
+
+
+def source_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Units of the blocks that are translated, joined over breaks of column and page."""
+    places = bands.document_bands(occupied_boxes(spark, folder))
+    blocks = roles.closing_sections(roles.page_blocks(_role_lines(spark, folder), places), [*PAGE[1:], "block"]).where("required")
+    named = units.located(blocks, places).withColumn("id", F.format_string("p%04d-block-%05d", "page_number", "block"))
+    made = units.located_units(named, ["doc_id"], ["page_number", "block"])
+    return made.select("doc_id", "unit", "text", F.size("blocks").cast("long").alias("blocks"), "confidence_ppm", "needs_review")
 
 
 def character_audit(spark: SparkSession, folder: str) -> DataFrame:
@@ -308,7 +340,7 @@ def repeated_deliveries(spark: SparkSession, folder: str) -> DataFrame:
 
 DELIVERIES_SQL = "select doc_id, id, count(*) n from text_line group by 1, 2 having count(*) > 1"
 
-QUERIES = {f.__name__: f for f in (repeated_marginals, interval_union, axis_gaps, gutter_persistence, elementary_intervals, containment_smallest, box_meetings, line_overlaps, reading_order_edges, character_order, line_text_from_characters, line_clusters, text_lines, body_sizes, font_usage, page_fit, column_shares, vertical_cuts, recursive_cuts, page_bands, column_anchors, title_lines, line_roles, merged_blocks, character_audit, repeated_deliveries)}
+QUERIES = {f.__name__: f for f in (repeated_marginals, interval_union, axis_gaps, gutter_persistence, elementary_intervals, containment_smallest, box_meetings, line_overlaps, reading_order_edges, character_order, line_text_from_characters, line_clusters, text_lines, body_sizes, font_usage, page_fit, column_shares, vertical_cuts, recursive_cuts, page_bands, column_anchors, title_lines, line_roles, merged_blocks, source_blocks, source_units, character_audit, repeated_deliveries)}
 SQL = {
     "repeated_marginals": REPEATED_SQL, "interval_union": UNION_SQL, "axis_gaps": GAPS_SQL, "gutter_persistence": PERSISTENCE_SQL, "elementary_intervals": ELEMENTARY_SQL,
     "containment_smallest": CONTAINMENT_SQL, "box_meetings": MEETING_SQL, "line_overlaps": LINE_OVERLAPS_SQL, "reading_order_edges": ORDER_SQL, "character_order": CHARACTER_ORDER_SQL,
