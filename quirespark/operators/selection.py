@@ -97,3 +97,32 @@ def overlapping_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     """keys of the groups in which two spans (span_start, span_end) overlap."""
     window = Window.partitionBy(*keys).orderBy("span_start", "span_end").rowsBetween(Window.unboundedPreceding, -1)
     return spans.where("span_start < span_end").withColumn("reach_", F.max("span_end").over(window)).where("span_start < reach_").select(*keys).distinct()
+
+
+def promoted(candidates: DataFrame) -> DataFrame:
+    """``candidates`` (doc_id, key, kind, figure_id, priority, essential) with ``core`` and ``place``.
+
+    Core are the essential ones, the first note (least key) of every figure, and, where no term of a document is essential, its
+    best term. ``place`` orders the others: notes of figures first, then by priority and key. A null ``essential`` counts as
+    false.
+    """
+    figure = F.col("kind") == "figure"
+    first_note = F.row_number().over(Window.partitionBy("doc_id", "kind", "figure_id").orderBy("key")) == 1
+    terms = Window.partitionBy("doc_id", "kind")
+    best_term = F.row_number().over(terms.orderBy(F.desc("priority"), "key")) == 1
+    given = F.coalesce("essential", F.lit(False))
+    core = given | (figure & first_note) | (~figure & best_term & ~F.max(given).over(terms))
+    marked = candidates.withColumn("core", core)
+    others = Window.partitionBy("doc_id", "core").orderBy(F.when(figure, 0).otherwise(1), F.desc("priority"), "key")
+    return marked.withColumn("place", F.when(~F.col("core"), F.row_number().over(others)).cast("long"))
+
+
+def items_by_kind(items: DataFrame, totals: DataFrame) -> DataFrame:
+    """doc_id, items, highlight_basis_points, teaching_basis_points of all items of a document (kind, size) against its total.
+
+    ``totals``: doc_id, denominator. Documents without items have 0 of each.
+    """
+    part = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("size")).otherwise(0))
+    sums = items.groupBy("doc_id").agg(F.count("*").alias("items"), part("highlight").alias("h"), part("teaching", "figure").alias("t"))
+    joined = totals.join(sums, "doc_id", "left").fillna(0, ["items", "h", "t"])
+    return joined.select("doc_id", "items", rounded_share(F.col("h"), F.col("denominator")).alias("highlight_basis_points"), rounded_share(F.col("t"), F.col("denominator")).alias("teaching_basis_points"))

@@ -1,6 +1,7 @@
 """Every query that has SQL gives the same rows as DuckDB over the same tables."""
 
 import datetime
+import sys
 from pathlib import Path
 
 import duckdb
@@ -42,11 +43,21 @@ def test_same_rows(spark, duck, name):
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables here")
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).columns
+def test_gives_rows(spark, name):
+    assert QUERIES[name](spark, FOLDER).collect()
 
 
-def test_entry_without_text_operators():
+@pytest.mark.parametrize("missing", ["quirespark.llm", "ahocorasick"])
+def test_entry_without_text_operators(missing, monkeypatch):
+    for name in [n for n in sys.modules if n.startswith("quirespark.llm") or n == "__spark_entry__"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    import __spark_entry__
+
+    assert set(QUERIES) == set(__spark_entry__.queries())
+
+
+def test_entry():
     import __spark_entry__
 
     assert set(QUERIES) <= set(__spark_entry__.queries())
