@@ -1,19 +1,11 @@
-"""The queries of this subpackage; a module that cannot be imported takes only its own queries away."""
+"""The queries of this subpackage."""
 
 from __future__ import annotations
 
-from importlib import import_module
-
-MODULES = ("lookalike_queries", "sentences_queries", "pairs_queries", "mojibake_queries", "align_queries", "tokenize_queries", "leaks_queries", "spans_queries")
+from quirespark.llm import align_queries, leaks_queries, lookalike_queries, mojibake_queries, pairs_queries, sentences_queries, spans_queries, tokenize_queries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _name in MODULES:
-    try:
-        _module = import_module(f"quirespark.llm.{_name}")
-    except ModuleNotFoundError as missing:
-        if (missing.name or "").startswith("quirespark"):
-            continue
-        raise
+for _module in (lookalike_queries, sentences_queries, pairs_queries, mojibake_queries, align_queries, tokenize_queries, leaks_queries, spans_queries):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
