@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirespark.operators.grouped import by_group
+from quirespark.sources.tables import cut
 
 PAGE = ["doc_id", "page_number"]
 # Least gutter and gap, most columns of a band, and the score from which a page counts as sure.
@@ -240,9 +241,9 @@ def document_template(bands: DataFrame, width: int = CROP[2]) -> DataFrame:
 def document_bands(boxes: DataFrame) -> DataFrame:
     """``BANDS`` of each page; pages that are not sure are tried again with their document's template, which is kept where it
     gives several columns and a better score."""
-    first = page_bands(boxes)
+    first = cut(page_bands(boxes))  # read four times, and far smaller than the boxes
     unsure = first.where(F.col("page_score") < SURE).select(*PAGE, F.col("page_score").alias("before")).distinct()
     again = boxes.join(unsure, PAGE).join(document_template(first), "doc_id")
-    retried = page_bands(again).join(unsure, PAGE)
+    retried = cut(page_bands(again).join(unsure, PAGE))
     better = retried.groupBy(*PAGE).agg(F.max("columns").alias("c"), F.max("page_score").alias("s"), F.max("before").alias("b")).where("c > 1 and s > b").select(*PAGE)
     return first.join(better, PAGE, "left_anti").unionByName(retried.join(better, PAGE, "left_semi").drop("before"))

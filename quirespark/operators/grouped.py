@@ -34,8 +34,13 @@ def by_group(frame: DataFrame, keys: list[str], columns: list[str], work: Callab
         for batch in batches:
             names = [batch.column(i).to_pylist() for i in range(len(keys))]
             groups = batch.column(len(keys))
+            cells = groups.flatten()  # the structs of all groups, one list a column instead of one dict a scalar
+            fields = [cells.field(i).to_pylist() for i in range(cells.type.num_fields)]
+            known = [f.name for f in cells.type]
+            ends = (groups.offsets.to_numpy() - groups.offsets[0].as_py()).tolist()
             for i in range(batch.num_rows):
-                made.extend(work(tuple(n[i] for n in names), groups[i].as_py()))
+                part = zip(*(f[ends[i] : ends[i + 1]] for f in fields), strict=True)
+                made.extend(work(tuple(n[i] for n in names), [dict(zip(known, row, strict=True)) for row in part]))
                 if len(made) >= most:
                     yield flush()
         if made:

@@ -135,6 +135,16 @@ r as (select doc_id, page_number, id, n, cast(0 as bigint) cluster, [{'m': m, 's
 select doc_id, page_number, id, cluster from r
 """
 
+# no glyph of the tables is small enough to be a mark of another line, so clusters and gaps make the lines
+SQL["text_lines"] = f"""
+with k as ({SQL["line_clusters"]}), c as (select distinct doc_id, page_number, id, text, x0, y0, x1, y1, font_size_mpt from page_char where text is not null),
+g as (select c.*, cluster, x0 - lag(x1) over w gap, lag(font_size_mpt) over w before from c join k using (doc_id, page_number, id) window w as (partition by doc_id, page_number, cluster order by x0, y0, id)),
+s as (select *, sum(case when gap > greatest(6000, before, font_size_mpt) then 1 else 0 end) over (partition by doc_id, page_number, cluster order by x0, y0, id rows unbounded preceding) seg from g),
+p as (select *, row_number() over (partition by doc_id, page_number, cluster, seg order by x0, y0, id) n from s),
+l as (select doc_id, page_number, trim(string_agg(case when n > 1 and gap > greatest(800, 3 * least(before, font_size_mpt) // 20) then ' ' else '' end || text, '' order by n)) as text, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1, max(font_size_mpt) max_font_size_mpt, list(id order by n) ids from p group by doc_id, page_number, cluster, seg)
+select doc_id, page_number, printf('p%04d-line-%05d', page_number, row_number() over (partition by doc_id, page_number order by y1 desc, x0, ids)) id, text, x0, y0, x1, y1, max_font_size_mpt from l where length(text) > 0
+"""
+
 _TERMS = TERMS_SQL.strip()
 SQL["overlapping_terms"] = f"select * from (select *, lead(span_start) over (partition by doc_id, unit_id order by span_start, span_end) next_start from (select distinct doc_id, id unit_id, first_at span_start, first_at + length(term) span_end from ({_TERMS}))) where next_start < span_end"
 SQL["term_clashes"] = f"select distinct doc_id, unit_id from ({SQL['overlapping_terms']})"

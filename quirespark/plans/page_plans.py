@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirespark.functions.geometry import box, fit_scale, overlaps, scaled, union_box
 from quirespark.operators import bands, extraction, intervals, layout, records, roles, selection, topology, units
 from quirespark.operators.latest import latest
-from quirespark.sources.tables import table
+from quirespark.sources.tables import cut, table
 
 PAGE = ["doc_id", "page_number"]
 LINES_SQL = "(select * from text_line qualify row_number() over (partition by doc_id, id order by loaded_at desc) = 1)"
@@ -309,7 +309,7 @@ def source_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 def source_units(spark: SparkSession, folder: str) -> DataFrame:
     """Units of the blocks that are translated, joined over breaks of column and page."""
-    places = bands.document_bands(occupied_boxes(spark, folder))
+    places = cut(bands.document_bands(occupied_boxes(spark, folder)))
     blocks = roles.closing_sections(roles.page_blocks(_role_lines(spark, folder), places), [*PAGE[1:], "block"]).where("required")
     named = units.located(blocks, places).withColumn("id", F.format_string("p%04d-block-%05d", "page_number", "block"))
     made = units.located_units(named, ["doc_id"], ["page_number", "block"])
