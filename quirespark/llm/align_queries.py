@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from quirespark.llm.align import Concepts, choose, concept_pairs, spans
 from quirespark.llm.pairs import LINES, defect
@@ -16,6 +17,8 @@ from quirespark.llm.sentences import MaxEnt, sentences
 from quirespark.llm.sentences_queries import sentence_model
 
 LEAST, GAIN = 0.15, 0.02
+#: Units whose vectors are in a worker's memory at a time.
+STEP = 256
 #: Defects whose answers are no renderings.
 NO_RENDERING = ("empty", "refusal", "copy", "wrong_language")
 SPANS = (
@@ -46,35 +49,37 @@ def span_vectors(frame: DataFrame, models: Models) -> DataFrame:
     """One row a unit with a rendering: where the sentences of both sides start, and the sparse concept vectors of windows
     of one and two of them. A unit of one sentence on both sides needs no vectors."""
     boundaries, finals, concepts = models.boundaries.weights, models.finals, models.concepts
-    schema = to_arrow_schema(StructType.fromDDL(SPANS))
 
-    def windows(texts: list[str], side: str) -> list[tuple[int, int, dict[int, float]]]:
+    def windows(texts: list[str], side: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         parts = [concepts.parts(t, side) for t in texts]
-        found = []
         for first, wide in spans(len(parts)):
             own = parts[first] if wide == 1 else (parts[first][0] + parts[first + 1][0], parts[first][1] + parts[first + 1][1])
-            found.append((first, wide, concepts.vector(*own)))
-        return found
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            yield (first, wide, *concepts.vector(*own))
+
+    def nested(units: list[list[tuple]], as_map: bool) -> pa.ListArray:
+        """Windows of units as one nested array, made of flat ones."""
+        each = [w for own in units for w in own]
+        offsets = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        ids, weights = (pa.array(np.concatenate([w[k] for w in each]) if each else [], t) for k, t in ((2, pa.int32()), (3, pa.float32())))
+        ends = offsets([len(w[2]) for w in each])
+        inner = pa.MapArray.from_arrays(ends, ids, weights) if as_map else pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([ids, weights], names=["concept", "weight"]))
+        rows = pa.StructArray.from_arrays([pa.array([w[0] for w in each], pa.int32()), pa.array([w[1] for w in each], pa.int32()), inner], names=["first", "wide", "weights" if as_map else "entries"])
+        return pa.ListArray.from_arrays(offsets([len(own) for own in units]), rows)
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         model = MaxEnt(boundaries)
-        out: list[list] = [[] for _ in range(6)]
-        for doc, name, role, *texts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if not texts[0] or defect(*texts, role or "", finals) in NO_RENDERING:
-                continue
-            cuts = [sentences(t, model) for t in texts]
-            alone = len(cuts[0]) == len(cuts[1]) == 1
-            source, target = ([] if alone else windows([t[a:b] for a, b in own], side) for t, own, side in zip(texts, cuts, ("source", "target"), strict=True))
-            values = (
-                doc,
-                name,
-                *([a for a, _ in own] for own in cuts),
-                [{"first": i, "wide": n, "entries": [{"concept": k, "weight": w} for k, w in v.items()]} for i, n, v in source],
-                [{"first": i, "wide": n, "weights": list(v.items())} for i, n, v in target],
-            )
-            for column, value in zip(out, values, strict=True):
-                column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+        for part in (batch.slice(k, STEP) for k in range(0, batch.num_rows, STEP)):  # vectors are far larger than texts
+            out: list[list] = [[] for _ in range(6)]
+            for doc, name, role, *texts in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
+                if not texts[0] or defect(*texts, role or "", finals) in NO_RENDERING:
+                    continue
+                cuts = [sentences(t, model) for t in texts]
+                alone = len(cuts[0]) == len(cuts[1]) == 1
+                vectors = ([] if alone else list(windows([t[a:b] for a, b in own], side)) for t, own, side in zip(texts, cuts, ("source", "target"), strict=True))
+                for column, value in zip(out, (doc, name, *([a for a, _ in own] for own in cuts), *vectors), strict=True):
+                    column.append(value)
+            arrays = [pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64())), nested(out[4], False), nested(out[5], True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "unit_id", "source_starts", "target_starts", "source", "target"])
 
     return by_batch(frame.select("doc_id", "unit_id", "unit_role", "source_text", "target_text"), work, SPANS)
 
