@@ -1,7 +1,7 @@
 """Incremental forms: deduplication, versions, ledgers and retention over streams of events.
 
 The batch engine has no late data; here an event later than the watermark is dropped. State grows with what is open within
-the watermark only.
+the watermark, or within the time that ``versions`` keeps an idle key, only.
 """
 
 from __future__ import annotations
@@ -39,20 +39,30 @@ def windowed_counts(stream: DataFrame, at: str, by: list[str], length: str = "1
     return counted.select(F.col("w.start").alias("window_start"), *by, "n")
 
 
-def versions(stream: DataFrame, key: str, at: str) -> DataFrame:
-    """key, version, last_at after each batch of events: a version counts all events of a key, from any batch."""
+def versions(stream: DataFrame, key: str, at: str, delay: str = "1 hour", keep_hours: int = 24 * 30) -> DataFrame:
+    """key, since_us, version, last_us after each batch of events: how many events of a key there were since ``since_us``.
+
+    A key without an event for ``keep_hours`` behind the watermark is forgotten; if it comes back it counts anew, under a new
+    ``since_us``, so that the sum of a key's counts is all its events. Null keys and times count for nothing.
+    """
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        since, n, last = state.get if state.exists else (None, 0, 0)
         for batch in batches:
-            n += len(batch)
-            last = max(last, int(batch["at_us"].max()))
-        state.update((n, last))
-        yield pd.DataFrame({key: [name[0]], "version": [n], "last_us": [last]})
+            us = batch["at_us"]
+            since = int(us.min()) if since is None else since
+            n, last = n + len(batch), max(last, int(us.max()))
+        state.update((since, n, last))
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + keep_hours * 3_600_000 + 1)
+        yield pd.DataFrame({key: [name[0]], "since_us": [since], "version": [n], "last_us": [last]})
 
     kind = stream.schema[key].dataType.simpleString()
-    timed = stream.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("at_us")).where(f"{key} is not null and at_us is not null")
-    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, version long, last_us long", "n long, last long", "update", GroupStateTimeout.NoTimeout)
+    timed = stream.withColumn(at, F.col(at).cast("timestamp")).where(F.col(key).isNotNull() & F.col(at).isNotNull()).withWatermark(at, delay)
+    own = timed.select(key, at, F.unix_micros(at).alias("at_us"))
+    return own.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, since_us long, version long, last_us long", "since long, n long, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def new_rows_only(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
