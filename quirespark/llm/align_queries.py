@@ -15,6 +15,7 @@ from quirespark.llm.pairs_queries import finals_model
 from quirespark.llm.records import by_batch, units
 from quirespark.llm.sentences import MaxEnt, sentences
 from quirespark.llm.sentences_queries import sentence_model
+from quirespark.sources.tables import cut
 
 LEAST, GAIN = 0.15, 0.02
 #: Units whose vectors are in a worker's memory at a time.
@@ -124,7 +125,7 @@ def aligned(frame: DataFrame, models: Models) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    frame = units(spark, folder)
+    frame = cut(units(spark, folder))  # read by each model and by the alignment
     return aligned(frame, Models(frame))
 
 
