@@ -81,11 +81,19 @@ select doc_id, id, cast(len(w) as bigint) n, array_to_string(w, '|') tokens from
 
 
 def heading_overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Headings of one document that are compatible contexts: equal, or two thirds of the smaller one's words in common."""
-    own = unit_rows(spark, folder, "source_text", "role").where("role = 'heading'").withColumn("w", text.tokens(F.col("source_text")))
-    a = own.select("doc_id", "id", "w")
-    b = own.select("doc_id", F.col("id").alias("other"), F.col("w").alias("v"))
-    return a.join(b, "doc_id").where((F.col("id") < F.col("other")) & text.token_overlap(F.col("w"), F.col("v"))).select("doc_id", "id", "other")
+    """Headings of one document that are compatible contexts: equal, or two thirds of the smaller one's words in common.
+
+    Two such headings share one of the smaller one's first words, as many as a third and one more, so they meet on a document's
+    words and not on the document.
+    """
+    own = unit_rows(spark, folder, "source_text", "role").where("role = 'heading'").select("doc_id", "id", text.tokens(F.col("source_text")).alias("w"))
+    size = F.size("w")
+    first = F.when(size > 0, F.slice("w", F.lit(1), size - F.ceil(size * 2 / 3).cast("int") + 1)).otherwise(F.array(F.lit("")))
+    rare = own.select("doc_id", F.col("id").alias("a"), F.explode(first).alias("word"))
+    every = own.select("doc_id", F.col("id").alias("b"), F.explode(F.when(size > 0, F.col("w")).otherwise(F.array(F.lit("")))).alias("word"))
+    met = rare.join(every, ["doc_id", "word"]).where("a <> b").select("doc_id", F.least("a", "b").alias("id"), F.greatest("a", "b").alias("other")).distinct()
+    both = met.join(own, ["doc_id", "id"]).join(own.select("doc_id", F.col("id").alias("other"), F.col("w").alias("v")), ["doc_id", "other"])
+    return both.where(text.token_overlap(F.col("w"), F.col("v"))).select("doc_id", "id", "other")
 
 
 OVERLAPS_SQL = rf"""
