@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -17,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share.
 
     It is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a
-    temporary folder is made, once a session.
+    temporary folder is made, once a session, and removed when Python ends.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
@@ -27,7 +29,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = Path(tempfile.mkdtemp(prefix="quire-")).as_uri()
+        local = tempfile.mkdtemp(prefix="quire-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        named = Path(local).as_uri()
     context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
