@@ -70,7 +70,7 @@ r as (select doc_id, id, k, n, done, part, page, top, least(n - done, (600000 -
       case when r.done + greatest(r.fit, 0) < r.n then r.page + 1 when q.h and r.top2 > 0 and q.need <= 600000 and 600000 < r.top2 + q.need then r.page + 1 else r.page end page,
       case when r.done + greatest(r.fit, 0) < r.n then 0 when q.h and r.top2 > 0 and q.need <= 600000 and 600000 < r.top2 + q.need then 0 else r.top2 end top
     from (select *, (top + greatest(fit, 0) * 15400) + case when top + greatest(fit, 0) * 15400 > 0 then 6000 else 0 end top2 from r) r join q on q.doc_id = r.doc_id and q.k = case when r.done + greatest(r.fit, 0) < r.n then r.k else r.k + 1 end))
-select doc_id, id, cast(part as bigint) part, cast(page as bigint) page, done line_start, done + fit line_end from r where fit > 0
+select doc_id, id, cast(part as bigint) part, cast(page as bigint) page, cast(done as bigint) line_start, done + fit line_end from r where fit > 0
 """
 
 SQL["merged_units"] = rf"""

@@ -23,7 +23,7 @@ def unit_flows(spark: SparkSession, folder: str) -> DataFrame:
 FLOWS_SQL = """
 with u as (select distinct doc_id, id unit_id, role, fragments from semantic_unit), t as (select distinct doc_id, unit_id, chinese_text from translation where chinese_text is not null),
 s as (select *, case role when 'title' then 17600 when 'heading' then 13200 when 'figure-caption' then 10120 when 'table-caption' then 10120 when 'footnote' then 10120 when 'note' then 10000 else 11000 end z from u join t using (doc_id, unit_id))
-select doc_id, unit_id, role, case when role in ('title', 'abstract', 'keywords') then 1 else 2 end column_count, z size_mpt, z * 140 // 100 leading_mpt, array_to_string(list_sort(list_distinct(list_transform(fragments, lambda f: f.page_number))), ',') source_pages, length(chinese_text) target_length from s
+select doc_id, unit_id, role, case when role in ('title', 'abstract', 'keywords') then cast(1 as bigint) else 2 end column_count, cast(z as bigint) size_mpt, cast(z * 140 // 100 as bigint) leading_mpt, array_to_string(list_sort(list_distinct(list_transform(fragments, lambda f: f.page_number))), ',') source_pages, length(chinese_text) target_length from s
 """
 
 

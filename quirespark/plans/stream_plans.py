@@ -58,7 +58,7 @@ def stream_new_rows(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-NEW_SQL = "select distinct user_id, event_type, 1 n from events where event_type = 'purchase'"
+NEW_SQL = "select distinct user_id, event_type, cast(1 as bigint) n from events where event_type = 'purchase'"
 
 QUERIES = {f.__name__: f for f in (stream_first_events, stream_window_counts, stream_versions, stream_new_rows)}
 SQL = {"stream_first_events": FIRST_SQL, "stream_window_counts": COUNTS_SQL, "stream_versions": VERSIONS_SQL, "stream_new_rows": NEW_SQL}
