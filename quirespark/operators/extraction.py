@@ -14,6 +14,7 @@ from quirespark.functions.geometry import area, box, contains, distance, lightne
 from quirespark.functions.text import collapse, line_signature
 from quirespark.operators import affixes
 from quirespark.operators.grouped import by_group
+from quirespark.sources.tables import spread
 
 PAGE = ["doc_id", "page_number"]
 # A page number alone on its line, and mentions of figures and tables.
@@ -42,28 +43,29 @@ def line_clusters(chars: DataFrame) -> DataFrame:
     return by_group(sound, PAGE, ["id", "x0", "y0", "y1", "font_size_mpt"], sweep, "doc_id string, page_number int, id string, cluster long")
 
 
-def segments(chars: DataFrame, keys: list[str]) -> DataFrame:
-    """``chars`` with ``segment``: a new one where the gap to the character before exceeds 6000 and the larger font size,
-    and ``gap`` to the character before within the group."""
-    order = Window.partitionBy(*keys).orderBy("x0", "y0", "id")
-    before, size = F.lag("x1").over(order), F.lag("font_size_mpt").over(order)
-    gap = F.col("x0") - before
-    fresh = F.when(gap > F.greatest(F.lit(6000), size, F.col("font_size_mpt")), 1).otherwise(0)
-    parts = chars.withColumn("gap", gap).withColumn("size_before", size).withColumn("fresh_", fresh)
-    return parts.withColumn("segment", F.sum("fresh_").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long")).drop("fresh_")
-
-
-def segment_lines(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """One row of each segment: its text with blanks for gaps of words, box, ids, fonts and largest size."""
-    blank = F.when((F.col("gap") > F.greatest(F.lit(800), F.call_function("div", 3 * F.least("size_before", "font_size_mpt"), F.lit(20).cast("long")))) & (F.col("fresh") == 0), " ").otherwise("")
-    order = Window.partitionBy(*keys, "segment").orderBy("x0", "y0", "id")
-    pieces = parts.withColumn("fresh", F.when(F.row_number().over(order) == 1, 1).otherwise(0)).withColumn("piece", F.concat(blank, "text"))
-    ordered = F.array_sort(F.collect_list(F.struct("x0", "y0", "id", "piece")))
-    made = pieces.groupBy(*keys, "segment").agg(
-        ordered.alias("o"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("font_size_mpt").alias("max_font_size_mpt"), F.array_sort(F.collect_set("font_name")).alias("font_names")
-    )
-    text = F.trim(F.array_join(F.transform("o", lambda c: c["piece"]), ""))
-    return made.select(*keys, "segment", text.alias("text"), "x0", "y0", "x1", "y1", "max_font_size_mpt", "font_names", F.transform("o", lambda c: c["id"]).alias("character_ids")).where(F.length("text") > 0)
+def glyph_texts(lines: DataFrame, glyphs: DataFrame) -> DataFrame:
+    """doc_id, page_number, line_id, given, text of each of ``lines`` (doc_id, page_number, line_id, given, character_ids), made
+    again from ``glyphs`` (doc_id, page_number, id, text, x0, y0, x1, font_size_mpt) from the left, with blanks for wide gaps.
+
+    Lines and glyphs are moved once, to the task of their page, and meet there: glyphs are the bulk of all rows, so neither a
+    join by glyph nor a window by line may move them again. Equal glyphs count once, those with a different box or text each;
+    nulls come last. Lines without any glyph's text give no row.
+    """
+    ids = lines.select(*PAGE, F.lit(False).alias("glyph"), "line_id", "given", "character_ids")
+    both = ids.unionByName(glyphs.select(*PAGE, F.lit(True).alias("glyph"), "id", "text", "x0", "y0", "x1", "font_size_mpt"), allowMissingColumns=True)
+    own = F.when(F.col("glyph"), F.array("id")).otherwise(F.col("character_ids"))
+    each = spread(both.where("doc_id is not null and page_number is not null"), *PAGE).withColumn("id", F.explode(own)).where("id is not null")
+    place = F.struct(F.isnull("x0").alias("nx"), "x0", F.isnull("y0").alias("ny"), "y0", "id", "x1", "font_size_mpt", "text")
+    met = each.groupBy(*PAGE, "id").agg(F.collect_set(F.when(F.col("glyph"), place)).alias("places"), F.collect_list(F.when(~F.col("glyph"), F.struct("line_id", "given"))).alias("within"))
+    placed = met.where((F.size("places") > 0) & (F.size("within") > 0)).select(*PAGE, F.inline("within"), "places").select(*PAGE, "line_id", "given", F.explode("places").alias("c"))
+    made = placed.groupBy(*PAGE, "line_id", "given").agg(F.array_sort(F.collect_list("c")).alias("o"))
+
+    def piece(c: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get("o", i - 1))
+        wide = F.greatest(F.lit(800), F.call_function("div", 3 * F.least(before["font_size_mpt"], c["font_size_mpt"]), F.lit(20).cast("long")))
+        return F.concat(F.when(c["x0"] - before["x1"] > wide, " ").otherwise(""), c["text"])
+
+    return made.select(*PAGE, "line_id", "given", F.trim(F.array_join(F.transform("o", piece), "")).alias("text")).where(F.length("text") > 0)
 
 
 def text_lines(chars: DataFrame) -> DataFrame:

@@ -169,12 +169,8 @@ select doc_id, page_number, id, ordinal, printf('p%04d-char-%06d', page_number,
 
 def line_text_from_characters(spark: SparkSession, folder: str) -> DataFrame:
     """Text of each line made again from its glyphs and the gaps between them, and whether it is the given text."""
-    own = lines(spark, folder, "text", "character_ids").select("doc_id", "page_number", F.col("id").alias("line_id"), F.col("text").alias("given"), F.explode("character_ids").alias("id"))
-    glyphs = chars(spark, folder, "text", *BOX, "font_size_mpt", "font_name")
-    placed = own.join(glyphs, [*PAGE, "id"])
-    keys = [*PAGE, "line_id", "given"]
-    whole = extraction.segments(placed, keys).withColumn("segment", F.lit(0).cast("long"))
-    made = extraction.segment_lines(whole, keys)
+    own = lines(spark, folder, "text", "character_ids").select(*PAGE, F.col("id").alias("line_id"), F.col("text").alias("given"), "character_ids")
+    made = extraction.glyph_texts(own, table(spark, folder, "page_char"))
     return made.select("doc_id", "line_id", "text", (F.col("text") == F.col("given")).alias("same"))
 
 
