@@ -187,6 +187,10 @@ def open_delimiter(text: str) -> bool:
     return bool(stack) or (text.count('"') % 2 == 1 and '"' in text)
 
 
+#: Share of a pair's occurrences that stand right before a closing mark, from which on it may end a text.
+LEAST_BEFORE = 0.02
+
+
 class Finals:
     """How often two characters (digits alike) come right before a closing mark; learned from sound sentences."""
 
@@ -209,7 +213,7 @@ class Finals:
 
     def ends(self, text: str) -> bool:
         k = self.key(text)
-        return self.before.get(k, 0) >= 0.02 * max(1, self.anywhere.get(k, 0)) and k in self.before
+        return self.before.get(k, 0) >= LEAST_BEFORE * max(1, self.anywhere.get(k, 0)) and k in self.before
 
 
 def final_mark(text: str) -> str:
