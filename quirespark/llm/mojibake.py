@@ -277,13 +277,27 @@ class Mender:
         return bool(chain) or lost, made if chain else None, " ".join(f"{a}>{b}" for a, b in chain)
 
 
-def train(samples: dict[str, list[str]], size: int = 32_768) -> dict[str, bytes]:
-    """A zstandard dictionary for each language; one with too few samples gets none."""
-    out = {}
-    for lang, texts in sorted(samples.items()):
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        try:
-            out[lang] = zstandard.train_dictionary(min(size, max(1024, sum(map(len, raw)) // 8)), raw).as_bytes()
-        except zstandard.ZstdError:
-            continue
-    return out
+#: Bytes of a language's dictionary, and of the samples into which dictionaries are cut where they are merged.
+SIZE, PIECE = 32_768, 256
+#: Every sample trains, none is kept back to try the result on.
+TRAINING = {"d": 8, "steps": 4, "split_point": 1.0}
+
+
+def train(samples: list[bytes], size: int = SIZE) -> bytes | None:
+    """A zstandard dictionary; none from too few samples."""
+    try:
+        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, samples)) // 8)), samples, **TRAINING).as_bytes()
+    except zstandard.ZstdError:
+        return None
+
+
+def merge(dictionaries: list[bytes], size: int = SIZE) -> bytes:
+    """One dictionary of what several have in common; a single one stays as it is. Their headers are too rare among the
+    pieces to be taken over. Training wants several times as much as it may keep, so the pieces come more than once."""
+    if len(dictionaries) == 1:
+        return dictionaries[0]
+    pieces = [x[k : k + PIECE] for x in dictionaries for k in range(0, len(x), PIECE)]
+    try:
+        return zstandard.train_dictionary(min(size, sum(map(len, pieces))), pieces * 4, **TRAINING).as_bytes()
+    except zstandard.ZstdError:
+        return max(dictionaries, key=lambda x: (len(x), x))

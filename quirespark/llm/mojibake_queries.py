@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm.mojibake import Mender, train
+from quirespark.llm.mojibake import Mender, merge, train
 from quirespark.llm.records import by_batch
 from quirespark.sources.tables import spread, table
 
@@ -17,22 +17,45 @@ SOUND = r"^[\x09-\x7e¡«°±µ»¿ÄÉÖÜß-ïñ-ü–‘-”…、-】一-鿿
 TRAINED = ("en", "zh", "fr", "de", "es")
 
 
-def dictionaries(documents: DataFrame, each: int = 300) -> dict[str, bytes]:
-    """Dictionaries trained on ``each`` documents a language, those of the least hashes. This bounded sample only fits the
-    model of the languages; every record is weighed by it."""
+#: Characters of a sample; longer texts are several. Dictionaries that are merged at a time.
+SAMPLE, FAN = 20_000, 32
+
+
+def dictionaries(documents: DataFrame, each: int = 1000) -> dict[str, bytes]:
+    """A dictionary for each language, trained on all its sound texts, each once.
+
+    Texts are dealt by their hash into groups of about ``each``; every group trains a dictionary in a task, and dictionaries
+    are merged, ``FAN`` at a time, until one is left of each language, so that every text takes part and no task or driver
+    holds many.
+    """
     lang = F.lower("lang")
-    sound = documents.select(lang.alias("lang"), "text").where(F.col("lang").isin(*TRAINED) & F.length("text").between(80, 20_000)).where(~F.col("text").rlike("[ÂÃ][\u0080-¿]") & F.col("text").rlike(SOUND))
-    hashed = sound.select("lang", F.xxhash64("text").alias("h"), "text")
-    # the hashes alone are ranked, each task's least ones first, so no text is sorted or shuffled
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    bounds = dict(hashed.select("lang", "h").distinct().withColumn("n", rank).where(F.col("n") <= each).groupBy("lang").agg(F.max("h")).collect())
-    samples: dict[str, list[str]] = {lang: [] for lang in bounds}
-    wanted = F.lit(False)
-    for lang, bound in bounds.items():
-        wanted |= (F.col("lang") == lang) & (F.col("h") <= bound)
-    for r in hashed.where(wanted).distinct().orderBy("lang", "h").collect():
-        samples[r.lang].append(r.text)
-    return train(samples)
+    sound = documents.select(lang.alias("lang"), "text").where(F.col("lang").isin(*TRAINED) & (F.length("text") > 0)).where(~F.col("text").rlike("[ÂÃ][\u0080-¿]") & F.col("text").rlike(SOUND))
+    first = F.sequence(F.lit(0), F.call_function("div", F.length("text") - 1, F.lit(SAMPLE).cast("long")).cast("int"))
+    samples = sound.select("lang", F.explode(F.transform(first, lambda k: F.substr("text", k * SAMPLE + 1, F.lit(SAMPLE)))).alias("text"))
+    groups = {r.lang: -(-r.n // each) for r in samples.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not groups:
+        return {}
+    count = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair])[F.col("lang")]
+    grouped = samples.select("lang", F.pmod(F.xxhash64("text"), count).alias("part"), "text").distinct()
+
+    def of_texts(part: pa.Table) -> pa.Table:
+        return made(part, train(sorted(x.encode("utf-8", "surrogatepass") for x in part["text"].to_pylist())))
+
+    def of_dictionaries(part: pa.Table) -> pa.Table:
+        return made(part, merge(sorted(part["content"].to_pylist())))
+
+    def made(part: pa.Table, content: bytes | None) -> pa.Table:
+        kept = part.select(["lang", "part"]).slice(0, int(content is not None))
+        return kept.append_column("content", pa.array([content] * kept.num_rows, pa.binary()))
+
+    schema = "lang string, part long, content binary"
+    trained = grouped.groupBy("lang", "part").applyInArrow(of_texts, schema)
+    most = max(groups.values())
+    while most > 1:
+        fewer = trained.withColumn("part", F.call_function("div", F.col("part"), F.lit(FAN).cast("long")))
+        trained = fewer.groupBy("lang", "part").applyInArrow(of_dictionaries, schema)
+        most = -(-most // FAN)
+    return {r.lang: bytes(r.content) for r in trained.orderBy("lang").collect()}
 
 
 @lru_cache(maxsize=2)

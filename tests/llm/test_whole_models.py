@@ -2,7 +2,9 @@
 
 import random
 
-from quirespark.llm import pairs, pairs_queries
+import pytest
+
+from quirespark.llm import mojibake, mojibake_queries, pairs, pairs_queries
 
 UNIT = "doc_id string, unit_id string, unit_role string, source_text string, target_text string"
 
@@ -25,3 +27,28 @@ def test_rare_endings_count(spark):
     data += [("d", f"rare {k}", "body", "It is rare.", f"此例{x}。") for k, x in enumerate(rare)] + [("d", f"open {k}", "body", "It is rare", f"此例{x}") for k, x in enumerate(rare)]
     frame = spark.createDataFrame(data, UNIT)
     assert pairs_queries.defective_pairs(frame, pairs_queries.finals_model(frame)).collect() == []
+
+
+@pytest.mark.parametrize(("each", "fan"), [(1000, 32), (100, 2), (60, 32)])
+def test_dictionaries_hold_what_any_text_repeats(spark, monkeypatch, each, fan):
+    """Every text takes part: phrases that stand in some 60 of 1 500 texts each are in the dictionary, short and long texts alike."""
+    monkeypatch.setattr(mojibake_queries, "FAN", fan)
+    random.seed(9)
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(3, 9)))
+    phrases = [" ".join(word() for _ in range(9)) for _ in range(25)]
+    texts = [f"{word()} {word()} {phrases[k % 25]} {word()}" for k in range(1500)] + ["word " * 20_000]
+    frame = spark.createDataFrame([(k, t, "EN" if k % 2 else "en") for k, t in enumerate(texts)] + [(-1, None, "en"), (-2, "", "en"), (-3, "x", None)], "doc_id long, text string, lang string")
+    made = mojibake_queries.dictionaries(frame, each)
+    assert set(made) == {"en"} and len(made["en"]) <= mojibake.SIZE
+    assert sum(p.encode() in made["en"] for p in phrases) >= 20
+    assert made == mojibake_queries.dictionaries(frame.repartition(7), each)
+
+
+def test_dictionaries_see_every_text(spark, monkeypatch):
+    monkeypatch.setattr(mojibake_queries, "train", lambda samples: b"|".join(samples))
+    monkeypatch.setattr(mojibake_queries, "merge", lambda parts: b"|".join(parts))
+    long = "".join(chr(0x4E00 + k % 19_000) for k in range(45_000))
+    texts = [f"text {k} of many, each of them with words of its own and none left out of all" for k in range(900)] + ["short", long]
+    frame = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts * 2)], "doc_id long, text string, lang string")
+    seen = mojibake_queries.dictionaries(frame, 50)["en"].decode().split("|")
+    assert sorted(seen) == sorted([*texts[:-1], *(long[k : k + 20_000] for k in (0, 20_000, 40_000))])
