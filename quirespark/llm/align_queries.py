@@ -29,8 +29,8 @@ SPANS = (
 
 
 class Models:
-    """What alignment is fitted on: at most ``sample`` units, those of the least hashes, of which at most ``concepts`` of one
-    or two sentences become the shared concepts. The bounds hold for the models only; every unit is aligned."""
+    """What alignment is fitted on: boundaries and finals are counted over all units; at most ``sample`` units, those of the
+    least hashes, are looked at for at most ``concepts`` shared ones of one or two sentences. Every unit is aligned."""
 
     def __init__(self, frame: DataFrame, sample: int = 4096, concepts: int = 1024) -> None:
         # the models of p2_found and p3_found, so that sentences and defects are theirs

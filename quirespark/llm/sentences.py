@@ -180,22 +180,24 @@ class MaxEnt:
         return sum(get(f, 0.0) for f in found)
 
     @classmethod
-    def fit(cls, examples: Iterable[tuple[list[str], int]], rounds: int = 150, penalty: float = 1e-4, least: int = 3) -> MaxEnt:
+    def fit(cls, examples: Iterable[tuple[list[str], int, int]], rounds: int = 150, penalty: float = 1e-4, least: int = 3) -> MaxEnt:
+        """``examples``: features, label and how often the two stand together."""
         examples = list(examples)
         count: dict[str, int] = {}
-        for found, _ in examples:
+        for found, _, n in examples:
             for f in found:
-                count[f] = count.get(f, 0) + 1
+                count[f] = count.get(f, 0) + n
         index = {f: k for k, f in enumerate(sorted(f for f, n in count.items() if n >= least or not f.startswith("token=")))}
-        rows = np.concatenate([np.full(len(x), i) for i, (x, _) in enumerate(examples)])
-        columns = np.asarray([index.get(f, -1) for x, _ in examples for f in x])
+        rows = np.concatenate([np.full(len(x), i) for i, (x, _, _) in enumerate(examples)])
+        columns = np.asarray([index.get(f, -1) for x, _, _ in examples for f in x])
         rows, columns = rows[columns >= 0], columns[columns >= 0]
-        y = np.asarray([label for _, label in examples], float)
+        y = np.asarray([label for _, label, _ in examples], float)
+        times = np.asarray([n for _, _, n in examples], float)
         w = np.zeros(len(index))
         square = np.full(len(index), 1e-8)
         for _ in range(rounds):  # steps scaled by each feature's own gradients
             p = 1 / (1 + np.exp(-np.bincount(rows, w[columns], len(y))))
-            slope = np.bincount(columns, (p - y)[rows], len(w)) / len(y) + penalty * w
+            slope = np.bincount(columns, ((p - y) * times)[rows], len(w)) / times.sum() + penalty * w
             square += slope**2
             w -= 0.5 * slope / np.sqrt(square)
         return cls({f: float(w[k]) for f, k in index.items()})
@@ -231,8 +233,25 @@ def examples(texts: Iterable[str]) -> list[tuple[list[str], int]]:
     return found
 
 
+#: Between the features of an example as one string; white space, which no feature holds.
+BETWEEN = "\x1f"
+
+
+def counted(texts: Iterable[str]) -> Counter[tuple[str, int]]:
+    """How often each example stands in ``texts``, its features as one string."""
+    return Counter((BETWEEN.join(found), sure) for found, sure in examples(texts))
+
+
+def fitted(counts: Counter[tuple[str, int]]) -> MaxEnt:
+    """The model of counted examples and of the fixed sentences."""
+    whole = counted(SEED.split("\n") * 5)
+    whole.update(counts)
+    names: dict[str, str] = {}  # each feature's string once
+    return MaxEnt.fit([([names.setdefault(f, f) for f in found.split(BETWEEN)], sure, n) for (found, sure), n in sorted(whole.items())])
+
+
 def train(texts: Iterable[str]) -> MaxEnt:
-    return MaxEnt.fit(examples([*SEED.split("\n") * 5, *texts]))
+    return fitted(counted(texts))
 
 
 #: Small words that go on with a sentence after an abbreviation.

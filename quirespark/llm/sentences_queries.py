@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.llm.records import by_batch, units
-from quirespark.llm.sentences import MaxEnt, sentences, train
+from quirespark.llm.sentences import MaxEnt, counted, fitted, sentences
 
 SIDES = ("source", "target")
 
 
-def sentence_model(frame: DataFrame, sample: int = 2000) -> MaxEnt:
-    """The boundary model, fitted on the reliable marks of ``sample`` units, those of the least hashes. This bounded
-    sample only fits the model; every text is split by it."""
-    rows = frame.select("source_text", "target_text").orderBy(F.xxhash64("source_text", "target_text")).limit(sample).collect()
-    return train(sorted({t for r in rows for t in r if t}))
+def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    found = counted(batch.column(0).to_pylist())
+    columns = ([f for f, _ in found], pa.string()), ([sure for _, sure in found], pa.int32()), (list(found.values()), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in columns], names=["found", "sure", "n"])
+
+
+def sentence_model(frame: DataFrame) -> MaxEnt:
+    """The boundary model, fitted on the reliable marks of all distinct texts of both sides.
+
+    Equal examples are counted where they stand; the driver gets each one once, so many as the words before marks make.
+    """
+    texts = frame.select(F.explode(F.array("source_text", "target_text")).alias("text")).where(F.length("text") > 0).distinct()
+    rows = by_batch(texts, _counted, "found string, sure int, n long").groupBy("found", "sure").agg(F.sum("n").alias("n")).collect()
+    return fitted(Counter({(r.found, r.sure): r.n for r in rows}))
 
 
 def sentence_units(frame: DataFrame, model: MaxEnt) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quirespark.llm import mojibake, mojibake_queries, pairs, pairs_queries
+from quirespark.llm import align_queries, mojibake, mojibake_queries, pairs, pairs_queries, sentences
 
 UNIT = "doc_id string, unit_id string, unit_role string, source_text string, target_text string"
 
@@ -52,3 +52,14 @@ def test_dictionaries_see_every_text(spark, monkeypatch):
     frame = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts * 2)], "doc_id long, text string, lang string")
     seen = mojibake_queries.dictionaries(frame, 50)["en"].decode().split("|")
     assert sorted(seen) == sorted([*texts[:-1], *(long[k : k + 20_000] for k in (0, 20_000, 40_000))])
+
+
+def test_boundaries_and_finals_of_alignment_count_every_text(spark):
+    # each word before a mark stands in three texts of 2 520, so that a sample of 2 000 units lacks some
+    words = ["word" + chr(97 + k % 26) + chr(97 + k // 26) for k in range(40)]
+    data = [("d", str(k), "body", f"Probe {k} rose at 7 p.m. Nobody left. It fell.", f"探针{k}上升。没有人离开。") for k in range(2400)]
+    data += [("d", f"{w} {k}", "body", f"Note {k} has {w}. Others have none.", f"注{k}有{chr(0x5000 + n)}见。其余没有。") for n, w in enumerate(words) for k in range(3)]
+    models = align_queries.Models(spark.createDataFrame([*data, ("d", "null", "body", None, None)], UNIT), sample=10, concepts=10)
+    assert models.boundaries.weights == sentences.train({t for r in data for t in r[3:]}).weights
+    assert all(f"token={w}" in models.boundaries.weights for w in words)
+    assert all(chr(0x5000 + n) + "见" in models.finals.before for n in range(40))
